@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, quality, sharding, urls
+from . import chat, lines, mixing, packing, quality, sharding, tokens, urls
 from .common import table
 
+COUNTED_BY, PACKED_BY = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: A conversation that holds the template's own control strings.
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(COUNTED_BY))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(PACKED_BY))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
@@ -71,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op3_line_dedup, op5_chat_format, op7_url_filter, op8_sharding, op9_mixing, op10_quality_rules)
+    named = (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op5_chat_format, op7_url_filter, op8_sharding, op9_mixing, op10_quality_rules)
     return {f.__name__: f for f in named}
 
 
