@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, packing, quality, sharding, tokens, urls
+from . import chat, lines, mixing, packing, quality, sharding, tokens, topk, urls
 from .common import table
 
 COUNTED_BY, PACKED_BY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -50,6 +50,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("__id") % 100 == 0)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -86,7 +90,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op5_chat_format, op7_url_filter, op8_sharding, op9_mixing, op10_quality_rules)
+    named = (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op5_chat_format, op6_exact_top_k, op7_url_filter, op8_sharding, op9_mixing, op10_quality_rules)
     return {f.__name__: f for f in named}
 
 
