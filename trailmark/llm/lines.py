@@ -69,12 +69,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     joined = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gid")) & (F.xxhash64(F.col(text)) == F.col("__gth")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     cleaned = F.array_join(F.transform(kept, lambda i: F.element_at("__lines", i + 1)), "\n")
-    own = [F.col(f"`{c}`") for c in docs.columns if c != text]
     return (
         joined.withColumn("__lines", _lines(F.col(text)))
         .withColumn("__new", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cleaned))
         .withColumn("__n_lines", F.size("__lines").cast("long"))
-        .withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .withColumn("__n_removed", F.greatest(F.col("__n_removed"), F.lit(0)))
+        .withColumn("__n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
         .select(*[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
     )
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with cleaned texts and their new lengths; documents of which no word is left go."""
+    out = dedup_lines(docs, doc_id, text)
+    emptied = (F.col("__n_removed") > 0) & (F.trim(F.translate(F.col(f"`{text}`"), "\t\n\x0b\x0c\r", "     ")) == "")
+    length = F.when(F.col("__n_removed") > 0, F.char_length(F.col(f"`{text}`")).cast("long")).otherwise(F.col(f"`{n_chars}`"))
+    return out.filter(~emptied).select(*[length.alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns])

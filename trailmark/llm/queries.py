@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, packing, quality, sharding, tokens, topk, urls
+from . import chat, jaccard, lines, mixing, packing, quality, sharding, tokens, topk, urls
 from .common import table
 
 COUNTED_BY, PACKED_BY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
@@ -90,7 +94,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op5_chat_format, op6_exact_top_k, op7_url_filter, op8_sharding, op9_mixing, op10_quality_rules)
+    named = (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op4_jaccard_join, op5_chat_format, op6_exact_top_k, op7_url_filter, op8_sharding, op9_mixing, op10_quality_rules)
     return {f.__name__: f for f in named}
 
 
