@@ -126,9 +126,10 @@ def remap_prefix(triples: DataFrame, rules: Mapping[str, str]) -> DataFrame:
 
 
 def remap_stats(before: DataFrame, after: DataFrame, old_prefix: str) -> DataFrame:
-    """Names that the change removed, and facts that still have the old prefix."""
+    """(what, n): names that the change removed, and facts that still have the old prefix."""
     left = F.col("s").startswith(old_prefix) | ((F.col("o_kind") != "literal") & F.col("o").startswith(old_prefix))
-    return before.select("s").distinct().exceptAll(after.select("s").distinct()).agg(F.count("*").alias("changed")).crossJoin(after.filter(left).agg(F.count("*").alias("leftovers")))
+    gone = before.select("s").distinct().join(after.select("s"), "s", "left_anti")
+    return gone.agg(F.lit("changed").alias("what"), F.count("*").alias("n")).union(after.filter(left).agg(F.lit("leftovers"), F.count("*")))
 
 
 def skolemise_bnodes(triples: DataFrame, roles: Mapping[str, str]) -> DataFrame:

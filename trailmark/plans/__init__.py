@@ -1 +1,6 @@
-"""See README.md for the map of modules."""
+"""Queries over the given tables, one per operator, each with the SQL that has to agree."""
+
+from . import catalogue, matching, reporting, spatial
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "catalogue", "matching", "reporting", "spatial"]
