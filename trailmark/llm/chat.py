@@ -43,29 +43,35 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit(LINE), F.lit("\n")))
 
 
-def strides(messages: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ... (tree, id, up, score): the 2**k-th ancestor and the score of the messages
-    from id, itself included, up to below that ancestor; up is null beyond the root.
+def strides(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Levels k = 0, 1, ... of (tree, id, up), the 2**k-th ancestors of the messages that have one, and
+    (tree, id, score), the sum of scores on each message's path from the root, itself included.
 
-    messages has tree, id, parent, score. A cycle is an error.
+    messages has tree, id, parent, score. A message leaves the rounds when it has passed the root, so
+    few deep trees don't keep the many shallow ones going. A cycle is an error.
     """
-    first = materialize(messages.select("tree", "id", F.col("parent").alias("up"), "score"), "stride")
-    out = [first]
-    while out[-1].filter(F.col("up").isNotNull()).limit(1).count():
-        if len(out) > MOST_ROUNDS:
+    now = materialize(messages.select("tree", "id", F.col("parent").alias("up"), "score"), "stride")
+    levels, scores = [], now.filter("up is null").select("tree", "id", "score")
+    at_root = scores.select("tree", F.col("id").alias("up"), F.col("score").alias("score2"), F.lit(None).cast("long").alias("up2"))
+    while True:
+        now = now.filter("up is not null")
+        if not now.limit(1).count():
+            return levels, scores
+        if len(levels) > MOST_ROUNDS:
             raise ValueError("the parents form a cycle")
-        a = out[-1]
-        b = a.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"))
-        step = a.join(b, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-        out.append(materialize(step, "stride"))
-    return out
+        levels.append(now.select("tree", "id", "up"))
+        ahead = now.select("tree", F.col("id").alias("up"), F.col("score").alias("score2"), F.col("up").alias("up2")).unionByName(at_root)
+        now = materialize(now.join(ahead, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score")), "stride")
+        over = now.filter("up is null").select("tree", "id", "score")
+        scores = scores.unionByName(over)
+        at_root = at_root.unionByName(over.select("tree", F.col("id").alias("up"), F.col("score").alias("score2"), F.lit(None).cast("long").alias("up2")))
 
 
-def branches(messages: DataFrame, levels: list[DataFrame], best: int | None = 1) -> DataFrame:
+def branches(messages: DataFrame, scores: DataFrame, best: int | None = 1) -> DataFrame:
     """(tree, leaf, rank): each tree's leaves in the order of their path's score, highest first, ties
     to the smaller id; the first `best` of them, or all."""
     answered = messages.filter(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("id"))
-    leaves = levels[-1].join(answered, ["tree", "id"], "left_anti")
+    leaves = scores.join(answered, ["tree", "id"], "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.lit(True) if best is None else F.col("rank") <= best).select("tree", F.col("id").alias("leaf"), "rank")
 
@@ -74,8 +80,7 @@ def paths(chosen: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """(tree, leaf, rank, id, up_by): the messages on each chosen branch and how far above the leaf."""
     on = chosen.select("tree", "leaf", "rank", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up_by"))
     for k in range(len(levels) - 1, -1, -1):
-        jump = levels[k].filter(F.col("up").isNotNull()).select("tree", "id", "up")
-        above = on.join(jump, ["tree", "id"]).select("tree", "leaf", "rank", F.col("up").alias("id"), (F.col("up_by") + 2**k).alias("up_by"))
+        above = on.join(levels[k], ["tree", "id"]).select("tree", "leaf", "rank", F.col("up").alias("id"), (F.col("up_by") + 2**k).alias("up_by"))
         on = materialize(on.unionByName(above), "paths")
     return on
 
@@ -105,8 +110,8 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     there = own.select("tree", F.col("id").alias("parent"), F.lit(True).alias("__there"))
     own = own.join(there, ["tree", "parent"], "left").withColumn("parent", F.when(F.col("__there"), F.col("parent"))).drop("__there")
     own = materialize(own, "messages")
-    levels = strides(own)
-    on = paths(branches(own, levels, best), levels)
+    levels, scores = strides(own)
+    on = paths(branches(own, scores, best), levels)
     conv = F.struct("tree", "leaf", "rank").alias("conv")
     turns = on.join(own, ["tree", "id"]).select(conv, (-F.col("up_by")).alias("place"), "role", "text")
     return render(turns).select("conv.*", "turns", "loss", "formatted")
