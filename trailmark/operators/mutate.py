@@ -23,7 +23,7 @@ def doomed(triples: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def purge(triples: DataFrame, roots: DataFrame) -> DataFrame:
-    return triples.join(doomed(triples, roots), "s", "left_anti")
+    return triples.join(doomed(triples, roots), "s", "left_anti").select(triples.columns)
 
 
 def removed_count(triples: DataFrame, roots: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def merge_patch(triples: DataFrame, patch: DataFrame, removes: DataFrame | None
     keys = keys.distinct()
     node = triples.join(keys, ["s", "p"], "left_semi").filter(F.col("o_kind") != "literal").select("s", F.col("o").alias("node"))
     node = node.filter(parent_of(F.col("node")).eqNullSafe(F.col("s"))).select(F.col("node").alias("s")).distinct()
-    return triples.join(keys, ["s", "p"], "left_anti").join(node, "s", "left_anti").unionByName(patch).dropDuplicates()
+    return triples.join(keys, ["s", "p"], "left_anti").join(node, "s", "left_anti").select(triples.columns).unionByName(patch).dropDuplicates()
 
 
 def expand_curies(removes: DataFrame, prefixes: Mapping[str, Sequence[str]]) -> DataFrame:

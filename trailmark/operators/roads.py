@@ -69,7 +69,7 @@ def crossings(segs: DataFrame, lines: DataFrame, cell: float = 8.0, z_tol: float
     apart = (F.col("a.deck") | F.col("b.deck")) & (F.col("a.layer") != F.col("b.layer"))
     hit = pair.filter(~apart & (F.abs(den) > 1e-12)).select(F.col("a.line").alias("la"), F.col("a.seq").alias("sa"), F.col("b.line").alias("lb"), F.col("b.seq").alias("sb"), t.alias("t"), u.alias("u"))
     hit = hit.filter((F.col("t") > EPS) & (F.col("t") < 1 - EPS) & (F.col("u") > EPS) & (F.col("u") < 1 - EPS)).dropDuplicates(["la", "sa", "lb", "sb"])
-    return hit.select(F.inline(F.array(F.struct(F.col("la").alias("line"), F.col("sa").alias("seq"), F.col("t").alias("t")), F.struct(F.col("lb"), F.col("sb"), F.col("u")))))
+    return hit.select(F.inline(F.array(F.struct(F.col("la").alias("line"), F.col("sa").alias("seq"), F.col("t").alias("t")), F.struct(F.col("lb").alias("line"), F.col("sb").alias("seq"), F.col("u").alias("t")))))
 
 
 def t_junctions(vertices: DataFrame, segs: DataFrame, tol: float, cell: float = 8.0) -> DataFrame:
