@@ -31,6 +31,7 @@ END_ID = 1
 RANKED_TOGETHER = 50_000
 #: A worker forgets its chunks beyond this number.
 CACHED_CHUNKS = 400_000
+ENCODED_TOGETHER = 20_000
 GROUP_CHARS = 4_000_000
 
 
@@ -74,8 +75,13 @@ def encode(texts: list[str], path: str) -> Iterator[bytes]:
         if len(known) + len(every) > CACHED_CHUNKS:
             known.clear()
         new = [c for c in every if c not in known]
-        for c, e in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(new), ENCODED_TOGETHER):
+            part = new[k : k + ENCODED_TOGETHER]
+            # Each chunk is encoded on its own, in one call for many: word_ids says whose an id is.
+            e = _tokenizer(path).encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            known.update((c, ids[4 * a : 4 * b]) for c, a, b in zip(part, ends, ends[1:]))
         for chunks in cut:
             yield b"".join(map(known.__getitem__, chunks))
         start = end
