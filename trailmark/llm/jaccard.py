@@ -8,18 +8,21 @@ entry.
 
 Entries are allocated by cost. A segment without shingles would match that of countless other sets,
 so it gets none. What it would have found is made up for with one-deletion neighbourhoods: a set with
-z empty segments indexes, in the scheme's first 2 z segments, its part and each of its part's subsets
-that lack one shingle. Proof: let two similar sets have e <= z segments that are empty in both and no
-other equal one. The others differ by at least 1 each and by at most H together, that is, at most
-e - 1 of them by more than 1. Of the first 2 z segments at least z aren't empty in both, so one of
-them differs by exactly 1 and is found. Where more than half of the segments are empty, the entries of
-the empty ones are made after all.
+z > 0 empty segments and t segments of one shingle indexes, in the scheme's first 2 z + t segments, its
+part and each subset of it that lacks one shingle, but never the empty one. Proof: let two similar sets
+have e segments that are empty in both, y that are empty in one and have one shingle in the other, and
+no other equal ones. These e + y differ by y in all, the rest by at least 1 each, and all by at most H,
+so at most e - 1 of the rest differ by more than 1. Either set sees e + y <= z + t and e <= z, so among
+its first 2 z + t segments are at least e of the rest, and one of these differs by exactly 1: it is
+found, neither part being empty. If 2 z + t exceeds the number of segments, all their parts and subsets
+are indexed, with the empty ones.
 
 Equal sets form classes, and only classes are compared. Buckets of the index are never expanded to
-all pairs at once: first each class meets its bucket's smallest member, what is verified becomes
-components, and only pairs of different components are left for the exhaustive round. Sketches of 256
-parity bits, of which similar sets differ in at most H, drop candidates before their sets are fetched;
-what remains is verified on the sets. Shingles are compared by 64-bit hashes.
+all pairs at once: in rounds each class meets its bucket's smallest member of another component, what
+is verified joins components, and only pairs of different components are left for the exhaustive round. Sketches of 256
+and then 1024 parity bits, of which similar sets differ in at most H, drop candidates before their
+texts are fetched; what remains is verified on the whole texts' sets. Shingles are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +46,7 @@ SHARE, OF = 85, 100
 CACHED_WORDS = 400_000
 SEEN_CLASSES = 500_000
 VERIFIED_TOGETHER = 64
+LINKING_ROUNDS = 6
 #: Bits of the filter that keeps documents which are no candidates from being shuffled: 4 MB.
 FILTER_BITS = 2**25
 
@@ -118,20 +123,21 @@ def entries(s: np.ndarray, share: int, of: int) -> np.ndarray:
         key = lambda sums, seg, c: _mix(_mix(sums + own_scheme, M2) + seg.astype(np.uint64) * M4 + c.astype(np.uint64) * M6, M3)
         every = np.arange(m)
         empty = int((count == 0).sum())
-        near = min(m, 2 * empty)
-        full = count > 0 if 2 * empty <= m else np.ones(m, bool)
-        full[:near] = True
+        near = 2 * empty + int((count == 1).sum()) if empty else 0
+        full = count > 0 if near <= m else np.ones(m, bool)
         out.append(key(total[full], every[full], count[full]))
         if near:
-            few = slice(0, edge[near])
+            few = np.flatnonzero((part < near) & (count[part] > (near <= m)))
             out.append(key(total[part[few]] - h[few], part[few], count[part[few]] - 1))
     return np.unique(np.concatenate(out))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Of each of 256 groups of shingles, whether it has an odd number of members."""
-    odd = np.bincount(((s >> np.uint64(7)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of 1024 groups of shingles, whether it has an odd number of members, as 16 longs; and the
+    same of 256 larger groups, as 4 longs."""
+    odd = np.bincount(((s >> np.uint64(7)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    fine = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return fine, np.bitwise_xor.reduce(fine.reshape(4, 4), axis=0)
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
@@ -144,30 +150,44 @@ SKETCH = ("k0", "k1", "k2", "k3")
 
 
 def index(docs: DataFrame, doc_id: str, text: str, width: int, share: int, of: int) -> DataFrame:
-    """doc_id, n (set size), cid and check (hashes of the set), sketch, entries (null where a document
-    of the same class came before in the task, and for empty sets)."""
-    field = docs.schema[doc_id]
+    """Two kinds of rows, e, cid, doc, from one pass over the texts.
+
+    For each row of docs: doc (id, n, check, sketch), its class cid and a random e. For each class that
+    a task meets, once: its index entries e, where doc is null. Rows without an id have no entries.
+    """
+    field = T.StructField("id", docs.schema[doc_id].dataType)
+    doc_type = T.StructType([field, *(T.StructField(x, T.LongType()) for x in ("n", "check", *SKETCH)), T.StructField("fine", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            cols = ([], [], [], [], [], [], [], [])
-            for t in b.column(1).to_pylist():
-                s = shingles(t, width)
-                cid, check = class_of(s)
-                new = len(s) and cid not in seen
-                if new:
-                    if len(seen) >= SEEN_CLASSES:
-                        seen.clear()
-                    seen.add(cid)
-                row = (len(s), cid, check, *map(int, sketch(s)), entries(s, share, of).view(np.int64) if new else None)
-                for c, v in zip(cols, row):
-                    c.append(v)
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], [doc_id, "n", "cid", "check", *SKETCH, "entries"])
-
-    longs = [T.StructField(x, T.LongType()) for x in ("n", "cid", "check", *SKETCH)]
-    schema = T.StructType([field, *longs, T.StructField("entries", T.ArrayType(T.LongType()))])
+        number = np.uint64(TaskContext.get().partitionId() << 40)
+        names = ["e", "cid", "doc"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                b = batch.slice(start, 500)
+                info, fines, cids, own, of_class = [], [], [], [], []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    s = shingles(t, width)
+                    cid, check = class_of(s)
+                    cids.append(cid)
+                    fine, coarse = sketch(s)
+                    fines.append(fine)
+                    info.append((len(s), check, *map(int, coarse)))
+                    if len(s) and i is not None and cid not in seen:
+                        if len(seen) >= SEEN_CLASSES:
+                            seen.clear()
+                        seen.add(cid)
+                        own.append(entries(s, share, of).view(np.int64))
+                        of_class.append(np.full(len(own[-1]), cid))
+                count = np.arange(b.num_rows, dtype=np.uint64) + number
+                number += np.uint64(b.num_rows)
+                doc = pa.StructArray.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*info)), pa.array(fines, pa.list_(pa.int64()))], ["id", "n", "check", *SKETCH, "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array(_mix(count, M6).view(np.int64)), pa.array(cids, pa.int64()), doc], names)
+                if own:
+                    e = np.concatenate(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.concatenate(of_class)), pa.nulls(len(e), doc.type)], names)
+
+    schema = T.StructType([T.StructField("e", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("doc", doc_type)])
     return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
@@ -185,56 +205,46 @@ def likely(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
     return own.join(F.broadcast(maps), "__bucket", "left").withColumn("__byte", byte).select(*[F.col(f"`{c}`") for c in docs.columns], isset.alias("__likely"))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(cid, s): the sets of the given classes (cid, rep), each read again from its document rep."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
-                found = [shingles(t, width) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(s)[0] for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["rep", "cid", "s"])
-
-    own = docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text"))
-    schema = T.StructType([T.StructField("rep", docs.schema[doc_id].dataType), T.StructField("cid", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
-    read = likely(own, "rep", classes.select("rep")).filter("__likely").drop("__likely").mapInArrow(run, schema)
-    return read.join(classes.select("cid", "rep"), ["cid", "rep"]).dropDuplicates(["cid"]).select("cid", "s")
-
-
-def similar(n_a: Column, n_b: Column, both: Column, share: int, of: int) -> Column:
-    return of * both >= share * (n_a + n_b - both)
-
-
-def may_match(a: str, b: str, share: int, of: int) -> Column:
+def may_match(a: str, b: str, share: int, of: int, fine: bool = False) -> Column:
     """Whether sizes and sketches allow classes a and b, aliases with n and sketch, to be similar."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in SKETCH), F.lit(0))
+    if fine:
+        bits = F.zip_with(F.col(f"{a}.fine"), F.col(f"{b}.fine"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        differ = F.aggregate(bits, F.lit(0), lambda t, x: t + x)
+    else:
+        differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in SKETCH), F.lit(0))
     return (of * F.least(n_a, n_b) >= share * F.greatest(n_a, n_b)) & ((of + share) * differ <= (of - share) * (n_a + n_b))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, share: int, of: int) -> DataFrame:
-    """The pairs (a, b) of classes that are similar.
+def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int, of: int) -> DataFrame:
+    """The pairs (a, b, a_rep, b_rep) of classes that are similar, as (a, b).
 
-    A class that has many partners meets them in groups of bounded size; its set travels once for each.
+    texts (rep, text) has the text of each class's document. A class that has many partners meets them
+    in groups of bounded size; its text travels once for each. Texts that share an id are told apart by
+    their class.
     """
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        hits = []
-        if left.num_rows and right.num_rows:
-            one = left.column("own").combine_chunks().flatten().to_numpy()
-            other = right.column("s").combine_chunks()
-            ends, flat = other.offsets.to_numpy(), other.values.to_numpy()
-            for k, b in enumerate(right.column("b").to_pylist()):
-                part = flat[ends[k] : ends[k + 1]]
-                both = len(np.intersect1d(one, part, assume_unique=True))
-                if of * both >= share * (len(one) + len(part) - both):
-                    hits.append(b)
-        return pa.table([pa.array([key[0].as_py()] * len(hits), pa.int64()), pa.array(hits, pa.int64())], names=["a", "b"])
+    def sets(t: pa.Table, cid: str, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        for c, text in zip(t.column(cid).to_pylist(), t.column(text).to_pylist()):
+            s = shingles(text, width)
+            if class_of(s)[0] == c:
+                yield c, s
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, one = next(sets(left, "one", "own_text"), (None, None))
+        hits = set()
+        if a is not None:
+            for b, s in sets(right, "b", "text"):
+                both = len(np.intersect1d(one, s, assume_unique=True))
+                if of * both >= share * (len(one) + len(s) - both):
+                    hits.add(b)
+        return pa.table([pa.array([a] * len(hits), pa.int64()), pa.array(sorted(hits), pa.int64())], names=["a", "b"])
 
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFIED_TOGETHER).alias("groups"))
-    grouped = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("g"))
-    right = grouped.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "g", "b", "s")
-    left = grouped.select(F.col("a").alias("one"), F.col("g").alias("part")).distinct().join(sets.select(F.col("cid").alias("one"), F.col("s").alias("own")), "one")
+    grouped = pairs.join(counts, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")))
+    right = grouped.select("a", "g", "b", F.col("b_rep").alias("rep")).join(texts, "rep").select("a", "g", "b", "text")
+    own = texts.select(F.col("rep").alias("a_rep"), F.col("text").alias("own_text"))
+    left = grouped.select(F.col("a").alias("one"), F.col("g").alias("part"), "a_rep").distinct().join(own, "a_rep").select("one", "part", "own_text")
     return left.groupBy("one", "part").cogroup(right.groupBy("a", "g")).applyInArrow(run, "a long, b long")
 
 
@@ -247,38 +257,53 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     Rows without an id aren't compared and have no component. Rows that share an id come out each
     with the component of its own text. Other columns are ignored.
     """
-    rows = materialize(index(docs, doc_id, text, width, share, of), "index")
-    alike = F.when(F.min("check") == F.max("check"), F.min(doc_id)).otherwise(F.raise_error(F.lit("two sets have the same hash; change the multipliers")))
-    classes = materialize(rows.filter((F.col("n") > 0) & F.col(doc_id).isNotNull()).groupBy("cid").agg(alike.alias("rep"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in SKETCH]), "classes")
     bucket = Window.partitionBy("e")
-    shared = rows.filter(F.col(doc_id).isNotNull()).select(F.explode("entries").alias("e"), "cid").withColumn("low", F.min("cid").over(bucket)).withColumn("high", F.max("cid").over(bucket)).filter("low < high").select("e", "cid").distinct()
-    shared = materialize(shared, "shared")
+    found = index(docs, doc_id, text, width, share, of).withColumn("low", F.min("cid").over(bucket)).withColumn("high", F.max("cid").over(bucket))
+    found = materialize(found.filter("doc is not null or low < high").drop("low", "high"), "index")
+    rows = found.filter("doc is not null").select("doc.*", "cid")
+    shared = found.filter("doc is null").select("e", "cid")
+    alike = F.when(F.min("check") == F.max("check"), F.min("id")).otherwise(F.raise_error(F.lit("two sets have the same hash; change the multipliers")))
+    classes = materialize(rows.filter("n > 0 and id is not null").groupBy("cid").agg(alike.alias("rep"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in SKETCH], F.first("fine").alias("fine")), "classes")
     meet = materialize(shared.select("cid").distinct().join(classes, "cid"), "meet")
-    sets = materialize(sets_of(docs, meet, doc_id, text, width), "sets")
+    wanted = likely(docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text")), "rep", meet.select("rep"))
+    texts = materialize(wanted.filter("__likely").drop("__likely"), "texts")
 
     def told(pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and sketches allow."""
-        a, b = meet.withColumnRenamed("cid", "a").alias("x"), meet.withColumnRenamed("cid", "b").alias("y")
-        return pairs.join(a, "a").join(b, "b").filter(may_match("x", "y", share, of)).select("a", "b")
-
-    # Each class and the smallest that shares a bucket with it, of those that may match.
-    first = shared.withColumn("a", F.min("cid").over(bucket)).filter("a < cid").select("a", F.col("cid").alias("b")).distinct()
-    first = told(first).groupBy("b").agg(F.min("a").alias("a"))
-    links = materialize(verify(first, sets, share, of), "links")
-    labels = components(links)
-    # Every pair of different components that shares a bucket.
-    labelled = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = labelled.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").select("e", "cid", "comp").join(meet, "cid")
-    mixed = materialize(mixed, "mixed")
+        """Pairs that sizes and sketches allow, with their documents."""
+        x, y = meet.withColumnRenamed("cid", "a").alias("x"), meet.withColumnRenamed("cid", "b").alias("y")
+        return pairs.join(x, "a").join(y, "b").filter(may_match("x", "y", share, of) & may_match("x", "y", share, of, True)).select("a", "b", F.col("x.rep").alias("a_rep"), F.col("y.rep").alias("b_rep"))
+
+    # In rounds, each class tries the smallest of another component that shares a bucket with it, of
+    # those that may match and weren't tried, until a round links nothing more.
+    mixed = shared.withColumn("comp", F.col("cid"))
+    links = tried = None
+    for _ in range(LINKING_ROUNDS):
+        low = F.min(F.struct("comp", "cid")).over(bucket)
+        near = mixed.withColumn("low", low).filter(F.col("low.comp") < F.col("comp")).select(F.col("low.cid").alias("a"), F.col("cid").alias("b")).distinct()
+        if tried is not None:
+            near = near.join(tried, ["a", "b"], "left_anti")
+        first = told(near).groupBy("b").agg(F.min(F.struct("a", "a_rep")).alias("x"), F.first("b_rep").alias("b_rep")).select("x.a", "b", "x.a_rep", "b_rep")
+        first = materialize(first, "first")
+        tried = first.select("a", "b") if tried is None else tried.union(first.select("a", "b"))
+        new = materialize(verify(first, texts, width, share, of), "links")
+        links = new if links is None else links.union(new)
+        if not new.limit(1).count():
+            break
+        labels = components(links)
+        again = mixed.select("e", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        again = again.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").select("e", "cid", "comp")
+        mixed = materialize(again, "mixed")
+    # Then every pair of different components that shares a bucket.
+    mixed = materialize(mixed.join(meet.drop("fine", "rep"), "cid"), "mixed")
     pair = mixed.alias("x").join(mixed.alias("y"), (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & may_match("x", "y", share, of))
-    pairs = pair.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(pairs, "pairs"), sets, share, of), "links")
+    pairs = told(pair.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    more = materialize(verify(materialize(pairs, "pairs"), texts, width, share, of), "links")
     labels = components(links.union(more))
     known = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    found = known.join(least, "comp").select("cid", "component_id")
-    own = rows.select(doc_id, "n", F.when((F.col("n") > 0) & F.col(doc_id).isNotNull(), F.col("cid")).alias("cid"))
-    return own.join(found, "cid", "left").select(doc_id, F.col("n").alias("n_shingles"), F.when(F.col(doc_id).isNotNull(), F.coalesce("component_id", doc_id)).alias("component_id"))
+    group = known.join(least, "comp").select("cid", "component_id")
+    own = rows.select("id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+    return own.join(group, "cid", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF) -> DataFrame:
