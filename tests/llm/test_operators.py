@@ -308,3 +308,14 @@ def test_quality(spark, edge, none):
     ab = {r["rule"]: r for r in quality.ablations(got).collect()}
     assert ab["few_words"]["fails"] == sum(brute_quality(x)[0] < 50 for _, x, *_ in EDGE) and ab["few_words"]["n"] == len(EDGE)
     assert all(r["fails_alone"] <= r["fails"] for r in ab.values())
+
+
+@pytest.mark.parametrize("ids", ["random", "far"])
+def test_components_of_a_long_chain(spark, ids):
+    n = 3000
+    chain = list(range(1, n)) + [0]
+    if ids == "random":
+        chain = [int(k) for k in np.random.default_rng(1).permutation(n)]
+    links = [*zip(chain, chain[1:]), (n + 2, n + 1), (n + 2, n + 3), (n + 9, n + 9)]
+    got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(n), 0) | dict.fromkeys((n + 1, n + 2, n + 3), n + 1) | {n + 9: n + 9}

@@ -7,23 +7,37 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-MOST_ROUNDS = 100
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of any direction to (node, comp): comp is the smallest node that links reach.
 
-    Each round takes the smallest label of the neighbours and then the label's own label, so labels
-    travel in doubling steps. Every round's labels are a written table.
+    In each round every root hooks to its smallest neighbour, if that is smaller; the trees are flattened
+    by doubling; and links are drawn between the trees' roots, until none is left. A root that neither
+    hooked nor was hooked to has a neighbour that hooked to a smaller one, so it hooks in the next round:
+    two rounds halve the roots that have links at least, and a round takes doublings in the logarithm of
+    the trees' depth. Labels get smaller and links fewer each time, so it ends without a limit.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
-    for _ in range(MOST_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        own = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
-        step = materialize(own.join(jump, "comp", "left").select("node", "was", F.least(F.col("comp"), F.coalesce("beyond", "comp")).alias("comp")), "labels")
-        labels = step.select("node", "comp")
-        if not step.filter("was != comp").limit(1).count():
+    left = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    labels = None
+    while True:
+        roots = _flat(left.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")))
+        if labels is None:
+            labels = roots
+        else:
+            beyond = roots.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
+            labels = materialize(labels.join(beyond, "comp", "left").select("node", F.coalesce("beyond", "comp").alias("comp")), "labels")
+        ends = left.join(roots.select(F.col("node").alias("a"), F.col("comp").alias("a2")), "a").join(roots.select(F.col("node").alias("b"), F.col("comp").alias("b2")), "b")
+        left = materialize(ends.filter("a2 != b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct(), "links")
+        if not left.limit(1).count():
             return labels
-    raise RuntimeError("labels haven't settled")
+
+
+def _flat(trees: DataFrame) -> DataFrame:
+    """(node, comp: a node that isn't larger) with the root of each node's tree as comp."""
+    trees = materialize(trees, "labels")
+    while True:
+        jump = trees.select(F.col("node").alias("comp"), F.col("comp").alias("beyond"))
+        step = materialize(trees.join(jump, "comp").select("node", F.col("comp").alias("was"), F.col("beyond").alias("comp")), "labels")
+        trees = step.select("node", "comp")
+        if not step.filter("was != comp").limit(1).count():
+            return trees
