@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.functions import geo, text, time
-from trailmark.operators import energy, matching, mutate, raster, roads, rules, trajectory
+from trailmark.operators import catalogue, energy, matching, mutate, raster, roads, rules, trajectory
 from trailmark.sources import facts, files
 from trailmark.streaming import live
 
@@ -201,3 +201,37 @@ def test_live_stream(spark, tmp_path):
     q.stop()
     got = {r["id"]: (r["event"], r["n_trail"]) for r in spark.sql("select * from live_out").collect()}
     assert got == {"a": ("live", 3), "b": ("live", 1), "b-": ("stopped", 0)}
+
+
+FACT = "dump string, s string, p string, o string, o_kind string, o_dtype string, o_lang string, s_parent string"
+
+
+def test_split_follows_long_lists(spark):
+    rows = [(None, "x", facts.TYPE, "Order", "iri", None, None, None), (None, "x", "list", "_:b0", "bnode", None, None, None)]
+    rows += [(None, f"_:b{k}", "rest", f"_:b{k + 1}", "bnode", None, None, None) for k in range(13)]
+    out = mutate.split_by_class(spark.createDataFrame(rows, FACT), {"Order": "tours"})
+    assert {r["dump"] for r in out.collect()} == {"tours"}
+
+
+def test_closure_of_a_deep_hierarchy(spark):
+    triples = spark.createDataFrame([(None, "x", facts.TYPE, "c0", "iri", None, None, None)], FACT)
+    sub = spark.createDataFrame([(f"c{k}", f"c{k + 1}") for k in range(20)] + [("c20", "c19")], "child string, parent string")
+    none = spark.createDataFrame([], "p string, c string")
+    out = catalogue.rdfs_closure(triples, sub, none, none).filter(F.col("p") == facts.TYPE)
+    assert {r["o"] for r in out.collect()} == {f"c{k}" for k in range(21)}
+
+
+def test_chain_of_many_decks(spark):
+    n = 54
+    decks = [(f"d{k:02}", 1, f"n{k:02}", f"n{k + 1:02}", 1.0, 5.0, float(n if k == n - 1 else 5)) for k in range(n)]
+    decks[0] = decks[0][:5] + (0.0, 5.0)
+    decks += [(f"f{k}", 1, "m", f"m{k}", 1.0, 7.0, 8.0) for k in range(3)] + [("r0", 1, "p", "q", 1.0, 7.0, 8.0), ("r1", 1, "q", "p", 1.0, 7.0, 8.0)]
+    out = {r["line"]: (r["h0"], r["h1"]) for r in roads.deck_chains(spark.createDataFrame(decks, "line string, layer int, a string, b string, len double, ha double, hb double")).collect()}
+    assert out == {f"d{k:02}": pytest.approx((k, k + 1)) for k in range(n)} | {x: (7.0, 8.0) for x in ("f0", "f1", "f2", "r0", "r1")}
+
+
+def test_nearest_node_far_away(spark):
+    points = spark.createDataFrame([("near", 0.0, 0.0), ("far", 5e6, 0.0), ("none", None, 0.0)], "p string, r double, c double")
+    nodes = spark.createDataFrame([("n", 0.0, 1.0, True), ("x", 5e6, 0.0, False)], "id string, r double, c double, valid boolean")
+    assert {r["p"]: r["node"] for r in roads.nearest_node(points, nodes, 1.0).collect()} == {"near": "n", "far": "n"}
+    assert roads.nearest_node(points, nodes.filter("not valid"), 1.0).count() == 0

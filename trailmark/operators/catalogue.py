@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import iri_tail
 from ..functions.time import weekday_of
 from ..sources.facts import TYPE
+from .energy import settled
 
 NO_TOUR, NO_DATE = "sem-passeio", "sem-data"
 
@@ -104,20 +105,19 @@ def describe(triples: DataFrame, roots: DataFrame) -> DataFrame:
     return own.unionByName(triples.join(blank, "s", "left_semi")).dropDuplicates()
 
 
-def rdfs_closure(triples: DataFrame, subclass: DataFrame, domain: DataFrame, range_: DataFrame, subproperty: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
+def rdfs_closure(triples: DataFrame, subclass: DataFrame, domain: DataFrame, range_: DataFrame, subproperty: DataFrame | None = None) -> DataFrame:
     """Facts and the types they imply. subclass (child, parent), domain (p, c), range (p, c) and
     subproperty (p, q) are the vocabulary, whose size doesn't depend on the facts."""
 
     def upward(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        pairs = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"))
-        reach = pairs
-        for _ in range(max_depth):
-            longer = reach.alias("x").join(pairs.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-            grown = reach.union(longer).distinct()
+        # Paths double in length each round, until there are no new ones.
+        reach = settled(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+        while True:
+            longer = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+            grown = settled(reach.union(longer).distinct())
             if grown.count() == reach.count():
-                break
+                return reach
             reach = grown
-        return reach
 
     facts = triples.select("s", "p", "o", "o_kind")
     if subproperty is not None:

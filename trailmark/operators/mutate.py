@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LOCAL_HOST
 from ..sources.facts import ROLES, TYPE, parent_of
+from .energy import settled
 
 BASE32 = "0123456789abcdefghjkmnpqrstvwxyz"
 
@@ -148,19 +149,20 @@ def retype(triples: DataFrame, classes: Mapping[str, str]) -> DataFrame:
     return triples.withColumn("o", F.when(F.col("p") == TYPE, F.coalesce(new, F.col("o"))).otherwise(F.col("o"))).dropDuplicates()
 
 
-def split_by_class(triples: DataFrame, dump_of: Mapping[str, str], orphan: str = "orphans", max_rounds: int = 10) -> DataFrame:
+def split_by_class(triples: DataFrame, dump_of: Mapping[str, str], orphan: str = "orphans") -> DataFrame:
     """Facts with the dump of their subject: by its class, else its parent's, else (blank nodes) that of
-    the subject that points to it, round by round."""
+    the subject that points to it, round by round until no more are placed."""
     dump = F.element_at(F.create_map(*[F.lit(x) for kv in dump_of.items() for x in kv]), F.col("o"))
     placed = triples.filter(F.col("p") == TYPE).select("s", dump.alias("__d")).groupBy("s").agg(F.min("__d").alias("__d")).filter("__d is not null")
     parents = triples.filter("s_parent is not null").select("s", "s_parent").distinct().join(placed.withColumnRenamed("s", "s_parent"), "s_parent").select("s", "__d")
     placed = placed.union(parents.join(placed, "s", "left_anti"))
-    links = triples.filter(F.col("o_kind") == "bnode").select("s", F.col("o").alias("b")).distinct()
-    for _ in range(max_rounds):
-        more = links.join(placed, "s").select(F.col("b").alias("s"), "__d").groupBy("s").agg(F.min("__d").alias("__d")).join(placed, "s", "left_anti")
+    links = settled(triples.filter(F.col("o_kind") == "bnode").select("s", F.col("o").alias("b")).distinct())
+    placed = settled(placed)
+    while True:
+        more = settled(links.join(placed, "s").select(F.col("b").alias("s"), "__d").groupBy("s").agg(F.min("__d").alias("__d")).join(placed, "s", "left_anti"))
         if not more.limit(1).count():
             break
-        placed = placed.union(more).checkpoint() if triples.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else placed.union(more)
+        placed = settled(placed.union(more))
     return triples.join(placed, "s", "left").withColumn("dump", F.coalesce("__d", F.lit(orphan))).select(triples.columns)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .energy import settled
+
 #: Tags that make a road a cycling road.
 CYCLEWAY = ("lane", "track", "shared_lane", "share_busway", "opposite_lane", "opposite_track")
 CYCLE_TAGS = ("cycleway", "cycleway_left", "cycleway_right", "cycleway_both")
@@ -118,41 +120,37 @@ def deck_flatten(vertices: DataFrame, decks: DataFrame) -> DataFrame:
     return x.select("line", "seq", "r", "c", F.when(F.col("deck"), flat).otherwise(F.col("h")).alias("h"))
 
 
-def deck_chains(decks: DataFrame, max_rounds: int = 50) -> DataFrame:
+def deck_chains(decks: DataFrame) -> DataFrame:
     """decks (line, layer, a, b: end nodes, len, ha, hb) to (line, h0, h1): decks of one layer that share ends
     and form a simple path are one ramp from its first end to its last; rings and forks stay as they are."""
     ends = decks.select("line", "layer", F.explode(F.array("a", "b")).alias("node"))
-    deg = ends.groupBy("layer", "node").agg(F.count("*").alias("deg"))
-    nb = ends.alias("x").join(ends.alias("y"), (F.col("x.layer") == F.col("y.layer")) & (F.col("x.node") == F.col("y.node")) & (F.col("x.line") != F.col("y.line"))).select(F.col("x.line").alias("line"), F.col("y.line").alias("other")).distinct()
-    comp = decks.select("line", F.col("line").alias("comp"))
-    for _ in range(max_rounds):
-        step = nb.join(comp.select(F.col("line").alias("other"), F.col("comp").alias("oc")), "other").groupBy("line").agg(F.min("oc").alias("oc"))
-        new = comp.join(step, "line", "left").select("line", "comp", F.least("comp", F.coalesce("oc", "comp")).alias("now"))
-        new = new.checkpoint() if decks.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.cache()
-        comp = new.select("line", F.col("now").alias("comp"))
-        if not new.filter("comp != now").limit(1).count():
-            break
-    worst = ends.join(deg, ["layer", "node"]).join(comp, "line").groupBy("comp").agg(F.max("deg").alias("most"), F.sum(F.when(F.col("deg") == 1, 1).otherwise(0)).alias("free"))
-    simple = worst.filter("most <= 2 and free = 2").select("comp")
-    # Walk each path from its smaller free end: a front moves one deck a round.
-    chain = decks.join(comp, "line").join(simple, "comp", "left_semi")
-    free = ends.join(deg.filter("deg = 1"), ["layer", "node"]).join(comp, "line").groupBy("comp").agg(F.min("node").alias("node"))
-    front = free.select("comp", "node", F.lit(0.0).alias("s"))
-    done = None
-    for _ in range(max_rounds):
-        ahead = chain if done is None else chain.join(done.select("line"), "line", "left_anti")
-        hop = ahead.join(front, "comp").filter("a = node or b = node")
-        hop = hop.select("comp", "line", (F.col("a") == F.col("node")).alias("fwd"), "s", (F.col("s") + F.col("len")).alias("s2"), F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a")).alias("to"), F.when(F.col("a") == F.col("node"), F.col("ha")).otherwise(F.col("hb")).alias("hs"), F.when(F.col("a") == F.col("node"), F.col("hb")).otherwise(F.col("ha")).alias("he"))
-        hop = hop.checkpoint() if decks.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else hop.cache()
+    deg = settled(ends.groupBy("layer", "node").agg(F.count("*").alias("deg")))
+    way = lambda a, b, fwd: decks.select("layer", F.col(a).alias("node"), "line", F.lit(fwd).alias("fwd"), "len", F.col(b).alias("to"), F.col("ha" if fwd else "hb").alias("hs"), F.col("hb" if fwd else "ha").alias("he"))
+    arms = settled(way("a", "b", True).union(way("b", "a", False)).join(deg.select("layer", F.col("node").alias("to"), "deg"), ["layer", "to"]))
+    # Walk from every free end, a deck a round: a fork ends the walk, and it is a simple path if it comes to
+    # another free end. From there no walk can meet a ring, so it ends without a limit.
+    came = F.lit(None).cast(dict(decks.dtypes)["line"]).alias("came")
+    front = settled(deg.filter("deg = 1").select("layer", F.col("node").alias("start"), "node", F.lit(0.0).alias("s"), came))
+    walked, rounds = None, 0
+    while True:
+        hop = front.join(arms, ["layer", "node"]).filter("not line <=> came")
+        hop = settled(hop.select("layer", "start", "line", "fwd", "s", (F.col("s") + F.col("len")).alias("s2"), "to", "deg", "hs", "he"))
         if not hop.limit(1).count():
             break
-        done = hop if done is None else done.unionByName(hop)
-        front = hop.select("comp", F.col("to").alias("node"), F.col("s2").alias("s"))
+        walked, rounds = hop if walked is None else walked.unionByName(hop), rounds + 1
+        if rounds % 20 == 0:
+            walked = settled(walked)
+        front = hop.filter("deg = 2").select("layer", F.col("to").alias("node"), "start", F.col("s2").alias("s"), F.col("line").alias("came"))
+    done = None
+    if walked is not None:
+        # Of a path's two walks, that from the smaller end.
+        whole = walked.filter("deg = 1 and start < to").select("layer", "start")
+        done = settled(walked.join(whole, ["layer", "start"], "left_semi"))
     own = decks.select("line", F.col("ha").alias("h0"), F.col("hb").alias("h1"))
     if done is None:
         return own
-    full = done.groupBy("comp").agg(F.min_by("hs", "s").alias("c0"), F.max_by("he", "s").alias("c1"), F.max("s2").alias("full"))
-    ramp = done.join(full, "comp").withColumns({"x0": F.col("c0") + (F.col("c1") - F.col("c0")) * F.col("s") / F.col("full"), "x1": F.col("c0") + (F.col("c1") - F.col("c0")) * F.col("s2") / F.col("full")})
+    full = done.groupBy("layer", "start").agg(F.min_by("hs", "s").alias("c0"), F.max_by("he", "s").alias("c1"), F.max("s2").alias("full"))
+    ramp = done.join(full, ["layer", "start"]).withColumns({"x0": F.col("c0") + (F.col("c1") - F.col("c0")) * F.col("s") / F.col("full"), "x1": F.col("c0") + (F.col("c1") - F.col("c0")) * F.col("s2") / F.col("full")})
     ramp = ramp.select("line", F.when(F.col("fwd"), F.col("x0")).otherwise(F.col("x1")).alias("h0"), F.when(F.col("fwd"), F.col("x1")).otherwise(F.col("x0")).alias("h1"))
     return own.join(ramp, "line", "left_anti").unionByName(ramp)
 
@@ -202,17 +200,21 @@ def bake_graph(lines: DataFrame, heights: DataFrame, snap_deg: float = 1e-6) ->
 
 def nearest_node(points: DataFrame, nodes: DataFrame, cell: float, rings: int = 3) -> DataFrame:
     """points (p, r, c) and nodes (id, r, c, valid) to (p, node, d): the nearest valid node within `rings` cells;
-    points that have none there look ten times as far, and so on, until no more are found."""
-    left, found = points, None
-    for _ in range(6):
-        v = nodes.filter("valid").select(F.col("id").alias("node"), F.col("r").alias("nr"), F.col("c").alias("nc"), F.floor(F.col("r") / cell).alias("i"), F.floor(F.col("c") / cell).alias("j"))
+    points that have none there look ten times as far, and so on, until each has one. Without a valid
+    node, or without a finite place, a point has no row."""
+    finite = (F.abs("r") < float("inf")) & (F.abs("c") < float("inf"))
+    nodes = settled(nodes.filter("valid").filter(finite))
+    some = nodes.limit(1).count()
+    left, found = settled(points.filter(finite)), None
+    while True:
+        v = nodes.select(F.col("id").alias("node"), F.col("r").alias("nr"), F.col("c").alias("nc"), F.floor(F.col("r") / cell).alias("i"), F.floor(F.col("c") / cell).alias("j"))
         around = F.explode(_cells(F.col("r"), F.col("c"), F.col("r"), F.col("c"), cell, rings * cell))
         x = left.withColumn("cell", around).select("p", "r", "c", "cell.i", "cell.j").join(v, ["i", "j"])
         d = F.sqrt(F.pow(F.col("r") - F.col("nr"), 2) + F.pow(F.col("c") - F.col("nc"), 2))
-        best = x.withColumn("d", d).filter(F.col("d") <= rings * cell).groupBy("p").agg(F.min(F.struct("d", "node")).alias("x")).select("p", "x.node", "x.d")
+        best = settled(x.withColumn("d", d).filter(F.col("d") <= rings * cell).groupBy("p").agg(F.min(F.struct("d", "node")).alias("x")).select("p", "x.node", "x.d"))
         found = best if found is None else found.unionByName(best)
-        left = left.join(best, "p", "left_anti")
-        if not left.limit(1).count():
+        left = settled(left.join(best, "p", "left_anti"))
+        if not some or not left.limit(1).count():
             break
         cell *= 10
     return found
