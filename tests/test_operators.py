@@ -235,3 +235,21 @@ def test_nearest_node_far_away(spark):
     nodes = spark.createDataFrame([("n", 0.0, 1.0, True), ("x", 5e6, 0.0, False)], "id string, r double, c double, valid boolean")
     assert {r["p"]: r["node"] for r in roads.nearest_node(points, nodes, 1.0).collect()} == {"near": "n", "far": "n"}
     assert roads.nearest_node(points, nodes.filter("not valid"), 1.0).count() == 0
+
+
+def test_routes_over_dear_edges(spark, tmp_path):
+    from trailmark import plans
+
+    cost = {(1, 1): 2.0, (2, 1): 10.0, (1, 2): 5.0, (2, 2): 7.3, (1, 3): 9.0, (2, 3): 9.0}
+    spark.createDataFrame([(*k, c) for k, c in cost.items()], "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    used, want = {}, {}
+    for route in range(2):
+        paid = lambda s, p: cost[s, p] + (1.5 ** used.get((s, p), 0) - 1) * 0.01 * 10 * cost[s, p]  # noqa: B023, E731
+        _, via = min((paid(1, p) + paid(2, p), p) for p in (1, 2, 3))  # noqa: B023
+        for s in (1, 2):
+            used[s, via] = used.get((s, via), 0) + 1
+        want[route] = {"s1": 0.0, f"p{via}": cost[1, via], "s2": cost[2, via]}
+    got = {}
+    for r in plans.QUERIES["n8_top_n_routes"](spark, str(tmp_path)).collect():
+        got.setdefault(r["route"], {})[r["node"]] = r["energy"]
+    assert got == want and want[0] != want[1]
