@@ -157,8 +157,11 @@ def brute_components(texts, width, share):
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("width,share", [(4, 85), (5, 80)])
-def test_jaccard(spark, width, share):
+@pytest.mark.parametrize("width,share,dear_at", [(4, 85, 16), (5, 80, 16), (4, 85, 0), (5, 80, 0)])
+def test_jaccard(spark, monkeypatch, width, share, dear_at):
+    """Also where every bucket of several components is dear, so that all of their classes are indexed again."""
+    monkeypatch.setattr(jaccard, "PAIRS_A_ENTRY", dear_at)
+    monkeypatch.setattr(jaccard, "LINKING_ROUNDS", 1 if dear_at == 0 else 3)
     rng = np.random.default_rng(7)
     texts, n = [], 0
     for base in range(30):
@@ -170,6 +173,14 @@ def test_jaccard(spark, width, share):
             w += [f"t{rng.integers(99)}" for _ in range(int(rng.integers(0, 3)))]
             texts.append((n, " ".join(w)))
             n += 1
+    # Near copies just below and above the threshold, and a passage that many share.
+    words = [f"y{k}" for k in range(100)]
+    for k in range(25):
+        w = list(words)
+        for at in rng.choice(100, 2 + k % 3, replace=False):
+            w[at] = f"q{k}"
+        texts.append((500 + k, " ".join(w)))
+        texts.append((600 + k, " ".join(words[:30] + [f"own{k}w{j}" for j in range(int(rng.integers(5, 60)))])))
     texts += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1004, LONG), (1005, LONG + " tail")]
     got = {r[0]: (r[1], r[2]) for r in jaccard.link(spark.createDataFrame(texts, "doc_id long, text string"), width=width, share=share).collect()}
     assert got == brute_components(texts, width, share)
@@ -183,6 +194,26 @@ def test_jaccard_edges(edge, none):
     assert kept.columns == edge.columns and kept.count() == len(EDGE)
 
 
+def meet(one, two):
+    """Whether two lists of entries share one that is a whole part of either."""
+    a, b = (dict(zip(e.tolist(), w.tolist())) for e, w in (one, two))
+    return any(w or b[e] for e, w in a.items() if e in b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.integers(0, 2**63), min_size=8, max_size=90), st.integers(0, 5), st.integers(0, 5), st.integers(1, 8))
+def test_entries_meet_without_dear_ones(base, less, more, one_in):
+    """Whatever is similar shares an entry that isn't dear, whichever parts are, or is indexed whole."""
+    items = sorted(base)
+    one, two = set(items), {*items[less:], *(2**63 + k for k in range(more))}
+    if 100 * len(one & two) >= 80 * len(one | two):
+        a, b = (np.array(sorted(x), np.uint64) for x in (one, two))
+        every = np.concatenate([jaccard.possible_entries(x, 80, 100) for x in (a, b)])
+        dear = every[every % np.uint64(one_in) == 0]
+        own = [np.intersect1d(jaccard.possible_entries(x, 80, 100), dear) for x in (a, b)]
+        assert meet(jaccard.entries(a, 80, 100, own[0]), jaccard.entries(b, 80, 100, own[1]))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.integers(0, 2**63), min_size=1, max_size=40), st.integers(0, 3), st.integers(0, 3))
 def test_entries_meet(base, less, more):
@@ -191,7 +222,7 @@ def test_entries_meet(base, less, more):
     a = np.array(items, np.uint64)
     b = np.array(sorted({*items[less:], *(2**63 + k for k in range(more))}), np.uint64)
     if len(b) and 100 * len(set(items[less:])) >= 80 * (len(items) + more):
-        assert set(jaccard.entries(a, 80, 100).tolist()) & set(jaccard.entries(b, 80, 100).tolist())
+        assert meet(jaccard.entries(a, 80, 100), jaccard.entries(b, 80, 100))
 
 
 def test_components(spark):

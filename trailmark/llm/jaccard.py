@@ -4,25 +4,35 @@ Universe partition with the pigeonhole principle. Sets whose sizes are in the sa
 size bands may be similar; for each such pair of bands a scheme cuts the universe of shingles into
 H + 1 segments by hash, where H is the most that similar sets of these sizes differ by. So at least
 one segment of two similar sets is equal, and the hash of a set's part in each segment is its index
-entry.
-
-Entries are allocated by cost. A segment without shingles would match that of countless other sets,
-so it gets none. What it would have found is made up for with one-deletion neighbourhoods: a set with
-z > 0 empty segments and t segments of one shingle indexes, in the scheme's first 2 z + t segments, its
-part and each subset of it that lacks one shingle, but never the empty one. Proof: let two similar sets
-have e segments that are empty in both, y that are empty in one and have one shingle in the other, and
-no other equal ones. These e + y differ by y in all, the rest by at least 1 each, and all by at most H,
-so at most e - 1 of the rest differ by more than 1. Either set sees e + y <= z + t and e <= z, so among
-its first 2 z + t segments are at least e of the rest, and one of these differs by exactly 1: it is
-found, neither part being empty. If 2 z + t exceeds the number of segments, all their parts and subsets
-are indexed, with the empty ones.
-
-Equal sets form classes, and only classes are compared. Buckets of the index are never expanded to
-all pairs at once: in rounds each class meets its bucket's smallest member of another component, what
-is verified joins components, and only pairs of different components are left for the exhaustive round. Sketches of 256
-and then 1024 parity bits, of which similar sets differ in at most H, drop candidates before their
-texts are fetched; what remains is verified on the whole texts' sets. Shingles are compared by 64-bit
-hashes.
+entry. Entries of equal parts meet, and those of parts with one-deletion subsets of others.
+
+Entries are allocated by cost. A part is skipped, and indexed nowhere, if it is empty, for it would
+match that of countless other sets, or if its posting list was measured to be dear. What it would have
+found is made up for with one-deletion neighbourhoods: a set with z > 0 skipped segments and t segments
+of which a one-deletion subset is such a part indexes, in the scheme's first 2 z + t segments, each
+subset of its part that lacks one shingle, but no skipped ones. Proof: let two similar sets have e equal
+segments, all skipped, y that differ by one shingle where the smaller part is skipped, and no other
+equal ones. These e + y differ by y in all, the rest by at least 1 each, and all by at most H, so at
+most e - 1 of the rest differ by more than 1. Either set sees e + y <= z + t and e <= z, so among its
+first 2 z + t segments are at least e of the rest, and one of these differs by exactly 1: both sets
+index it, the smaller one as a part, the larger as a subset. If 2 z + t exceeds the number of segments,
+all parts and subsets are indexed and nothing is skipped.
+
+The index is built twice. At first only empty parts are skipped. Equal sets form classes, and only
+classes are compared. In rounds each class meets its bucket's smallest member of another component, and
+what is verified joins components, so that large groups of copies are one component at the cost of a
+link a member. Then each posting list is measured: a bucket is dear if its pairs of different
+components are more than PAIRS_A_ENTRY times its entries. Classes that own an entry in a dear bucket are
+indexed again, without these parts. Of other classes all pairs are found without them: a class outside
+dear buckets meets a similar one in a bucket that isn't dear. What is left is paired by bucket.
+
+Two sets that share hundreds of buckets would be paired in each. Buckets of the same members are one
+bucket, and each entry carries its class's HEAD smallest entries: a pair is left out where the two heads
+have a smaller entry in common, because it is found there.
+
+Sketches of 256 and then 1024 parity bits, of which similar sets differ in at most H, drop candidates
+before their texts are fetched; what remains is verified on the whole texts' sets. Shingles are
+compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Scratch, column, prefix
 from .graph import components
 
 WIDTH = 4
@@ -46,7 +56,10 @@ SHARE, OF = 85, 100
 CACHED_WORDS = 400_000
 SEEN_CLASSES = 500_000
 VERIFIED_TOGETHER = 64
-LINKING_ROUNDS = 6
+LINKING_ROUNDS = 3
+#: A bucket with more pairs of different components than this for each entry is dear.
+PAIRS_A_ENTRY = 16
+HEAD = 8
 #: Bits of the filter that keeps documents which are no candidates from being shuffled: 4 MB.
 FILTER_BITS = 2**25
 
@@ -106,30 +119,52 @@ def schemes(n: int, share: int, of: int) -> list[tuple[int, int]]:
     return [(k, 2 * all_bands[k][1] * (of - share) // (of + share) + 1) for k in both]
 
 
-def entries(s: np.ndarray, share: int, of: int) -> np.ndarray:
-    """The index entries of a set."""
-    out = []
-    own = _mix(s, M3)
-    place = (s * M6) >> np.uint64(24)
-    for scheme, m in schemes(len(s), share, of):
-        at = (place % np.uint64(m)).astype(np.int64)
+class _Scheme:
+    """A set's parts in one scheme of m segments."""
+
+    def __init__(self, s: np.ndarray, scheme: int, m: int) -> None:
+        at = ((s * M6 >> np.uint64(24)) % np.uint64(m)).astype(np.int64)
         order = np.argsort(at, kind="stable")
-        part, h = at[order], own[order]
-        count = np.bincount(part, minlength=m)
-        ends = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
-        edge = np.concatenate(([0], np.cumsum(count)))
-        total = ends[edge[1:]] - ends[edge[:-1]]
-        own_scheme = _mix(np.array([scheme], np.uint64), M1)
-        key = lambda sums, seg, c: _mix(_mix(sums + own_scheme, M2) + seg.astype(np.uint64) * M4 + c.astype(np.uint64) * M6, M3)
-        every = np.arange(m)
-        empty = int((count == 0).sum())
-        near = 2 * empty + int((count == 1).sum()) if empty else 0
-        full = count > 0 if near <= m else np.ones(m, bool)
-        out.append(key(total[full], every[full], count[full]))
+        self.m, self.part, self.own = m, at[order], _mix(s, M3)[order]
+        self.count = np.bincount(self.part, minlength=m)
+        ends = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.own, dtype=np.uint64)))
+        edge = np.concatenate(([0], np.cumsum(self.count)))
+        self.salt = _mix(np.array([scheme], np.uint64), M1)
+        self.total = ends[edge[1:]] - ends[edge[:-1]]
+        self.parts = self._keys(self.total, np.arange(m), self.count)
+
+    def _keys(self, sums: np.ndarray, segment: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return _mix(_mix(sums + self.salt, M2) + segment.astype(np.uint64) * M4 + count.astype(np.uint64) * M6, M3)
+
+    def subsets(self, which: slice | np.ndarray = slice(None)) -> np.ndarray:
+        """The entries of the parts without a shingle, for each shingle in `which`, in order of segment."""
+        part = self.part[which]
+        return self._keys(self.total[part] - self.own[which], part, self.count[part] - 1)
+
+
+def entries(s: np.ndarray, share: int, of: int, dear: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of a set, and whether each is of a whole part. dear: parts to do without."""
+    found, whole = [], []
+    for scheme, m in schemes(len(s), share, of):
+        x = _Scheme(s, scheme, m)
+        skipped, bare = x.count == 0, x.count[x.part] == 1
+        if dear is not None:
+            skipped = skipped | np.isin(x.parts, dear)
+            bare = bare | np.isin(x.subsets(), dear)
+        z = int(skipped.sum())
+        near = 2 * z + len(np.unique(x.part[bare])) if z else 0
+        found.append(x.parts if near > m else x.parts[~skipped])
+        whole.append(np.ones(len(found[-1]), bool))
         if near:
-            few = np.flatnonzero((part < near) & (count[part] > (near <= m)))
-            out.append(key(total[part[few]] - h[few], part[few], count[part[few]] - 1))
-    return np.unique(np.concatenate(out))
+            found.append(x.subsets(np.flatnonzero((x.part < near) & ((near > m) | ~bare))))
+            whole.append(np.zeros(len(found[-1]), bool))
+    return np.concatenate(found), np.concatenate(whole)
+
+
+def possible_entries(s: np.ndarray, share: int, of: int) -> np.ndarray:
+    """What entries() may give, whatever is dear."""
+    every = [_Scheme(s, scheme, m) for scheme, m in schemes(len(s), share, of)]
+    return np.concatenate([e for x in every for e in (x.parts, x.subsets())])
 
 
 def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +185,7 @@ SKETCH = ("k0", "k1", "k2", "k3")
 
 
 def index(docs: DataFrame, doc_id: str, text: str, width: int, share: int, of: int) -> DataFrame:
-    """Two kinds of rows, e, cid, doc, from one pass over the texts.
+    """Two kinds of rows, e, cid, whole, doc, from one pass over the texts.
 
     For each row of docs: doc (id, n, check, sketch), its class cid and a random e. For each class that
     a task meets, once: its index entries e, where doc is null. Rows without an id have no entries.
@@ -161,11 +196,11 @@ def index(docs: DataFrame, doc_id: str, text: str, width: int, share: int, of: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         number = np.uint64(TaskContext.get().partitionId() << 40)
-        names = ["e", "cid", "doc"]
+        names = ["e", "cid", "whole", "doc"]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 b = batch.slice(start, 500)
-                info, fines, cids, own, of_class = [], [], [], [], []
+                info, fines, cids, own, whole, of_class = [], [], [], [], [], []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     s = shingles(t, width)
                     cid, check = class_of(s)
@@ -177,32 +212,81 @@ def index(docs: DataFrame, doc_id: str, text: str, width: int, share: int, of: i
                         if len(seen) >= SEEN_CLASSES:
                             seen.clear()
                         seen.add(cid)
-                        own.append(entries(s, share, of).view(np.int64))
+                        e, w = entries(s, share, of)
+                        own.append(e.view(np.int64))
+                        whole.append(w)
                         of_class.append(np.full(len(own[-1]), cid))
                 count = np.arange(b.num_rows, dtype=np.uint64) + number
                 number += np.uint64(b.num_rows)
                 doc = pa.StructArray.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in zip(*info)), pa.array(fines, pa.list_(pa.int64()))], ["id", "n", "check", *SKETCH, "fine"])
-                yield pa.RecordBatch.from_arrays([pa.array(_mix(count, M6).view(np.int64)), pa.array(cids, pa.int64()), doc], names)
+                yield pa.RecordBatch.from_arrays([pa.array(_mix(count, M6).view(np.int64)), pa.array(cids, pa.int64()), pa.nulls(b.num_rows, pa.bool_()), doc], names)
                 if own:
                     e = np.concatenate(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.concatenate(of_class)), pa.nulls(len(e), doc.type)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.concatenate(of_class)), pa.array(np.concatenate(whole)), pa.nulls(len(e), doc.type)], names)
+
+    schema = T.StructType([T.StructField("e", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("doc", doc_type)])
+    return docs.select(column(doc_id), column(text)).mapInArrow(run, schema)
+
+
+def class_entries(texts: DataFrame, width: int, share: int, of: int) -> DataFrame:
+    """(cid, text) to (e, cid), all entries that a class may get; (cid, text, dear) to (e, cid, whole),
+    those that it gets if it does without the dear ones. Texts of other classes give nothing."""
+    measured = "dear" in texts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                cid, s = b.column("cid")[k].as_py(), shingles(b.column("text")[k].as_py(), width)
+                if class_of(s)[0] != cid:
+                    continue
+                if measured:
+                    e, *rest = entries(s, share, of, b.column("dear")[k].values.to_numpy().view(np.uint64))
+                else:
+                    e, rest = possible_entries(s, share, of), []
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e.view(np.int64), np.full(len(e), cid), *rest)], ["e", "cid", "whole"][: 2 + len(rest)])
+
+    return texts.mapInArrow(run, "e long, cid long" + ", whole boolean" * measured)
+
+
+def same_lists(entries: DataFrame) -> DataFrame:
+    """(e, one): for each bucket with more than one member and a whole part, the smallest of those that
+    have the same members. No more buckets have them than the smallest member has entries."""
+    kinds = [F.bit_xor(F.xxhash64(F.lit(x), "cid", "whole")).alias(x) for x in ("h1", "h2")]
+    lists = entries.groupBy("e").agg(F.count("*").alias("n"), F.max("whole").alias("whole"), *kinds).filter("n > 1 and whole")
+    return lists.select("e", F.min("e").over(Window.partitionBy("n", "h1", "h2")).alias("one"))
+
+
+def dear_lists(mixed: DataFrame) -> DataFrame:
+    """The buckets e of mixed (e, whole, comp) whose pairs of different components, at least one of each
+    pair's entries a whole part, are more than PAIRS_A_ENTRY times their entries."""
+    w, n = F.sum(F.col("whole").cast("long")), F.count("*")
+    by_comp = mixed.groupBy("e", "comp").agg(w.alias("w"), (n - w).alias("d"))
+    total = by_comp.groupBy("e").agg(F.sum("w").alias("w"), F.sum("d").alias("d"), F.sum(F.expr("w * w")).alias("ww"), F.sum(F.expr("w * d")).alias("wd"))
+    return total.filter(f"(w * w - ww) / 2 + w * d - wd > {PAIRS_A_ENTRY} * (w + d)").select("e")
+
 
-    schema = T.StructType([T.StructField("e", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("doc", doc_type)])
-    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+def of_several(mixed: DataFrame) -> DataFrame:
+    """The entries of those buckets that hold more than one component."""
+    several = mixed.groupBy("e").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    return mixed.join(several.select("e"), "e", "left_semi")
 
 
-def likely(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """docs with __likely, whether the id may be in wanted (one column, of ids), without a shuffle of docs.
+def likely(docs: DataFrame, doc_id: str, wanted: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name`, whether the id may be in wanted (one column, of ids), without a shuffle
+    of docs.
 
     The filter has FILTER_BITS bits whatever the input, so it may be broadcast; when it fills up, more
     rows pass, and the exact join that follows decides.
     """
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    maps = wanted.select(bit(wanted[wanted.columns[0]]).alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__map"))
-    own = docs.withColumn("__p", bit(F.col(f"`{doc_id}`"))).withColumn("__bucket", F.bitmap_bucket_number("__p")).withColumn("__at", F.bitmap_bit_position("__p"))
-    byte = F.conv(F.hex(F.substring(F.col("__map"), (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    isset = F.coalesce(F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1, F.lit(False))
-    return own.join(F.broadcast(maps), "__bucket", "left").withColumn("__byte", byte).select(*[F.col(f"`{c}`") for c in docs.columns], isset.alias("__likely"))
+    p = prefix(docs.columns)
+    at = wanted.select(bit(wanted[wanted.columns[0]]).alias("at"))
+    maps = at.groupBy(F.bitmap_bucket_number("at").alias(f"{p}bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(f"{p}map"))
+    spot = F.bitmap_bit_position(bit(column(doc_id)))
+    byte = F.conv(F.hex(F.substring(F.col(f"{p}map"), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    isset = F.coalesce(F.getbit(byte, (spot % 8).cast("int")) == 1, F.lit(False))
+    own = docs.withColumn(f"{p}bucket", F.bitmap_bucket_number(bit(column(doc_id))))
+    return own.join(F.broadcast(maps), f"{p}bucket", "left").select(*[column(c) for c in docs.columns], isset.alias(name))
 
 
 def may_match(a: str, b: str, share: int, of: int, fine: bool = False) -> Column:
@@ -248,7 +332,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int, of: int)
     return left.groupBy("one", "part").cogroup(right.groupBy("a", "g")).applyInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF) -> DataFrame:
+def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF, made: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of docs.
 
     Documents link where of * |A & B| >= share * |A | B|, for their sets of shingles of `width` words;
@@ -257,16 +341,19 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     Rows without an id aren't compared and have no component. Rows that share an id come out each
     with the component of its own text. Other columns are ignored.
     """
+    made = made or Scratch(docs.sparkSession)
     bucket = Window.partitionBy("e")
     found = index(docs, doc_id, text, width, share, of).withColumn("low", F.min("cid").over(bucket)).withColumn("high", F.max("cid").over(bucket))
-    found = materialize(found.filter("doc is not null or low < high").drop("low", "high"), "index")
+    found = made.table(found.filter("doc is not null or low < high").drop("low", "high"), "index")
     rows = found.filter("doc is not null").select("doc.*", "cid")
-    shared = found.filter("doc is null").select("e", "cid")
+    shared = found.filter("doc is null").groupBy("e", "cid").agg(F.max("whole").alias("whole"))
     alike = F.when(F.min("check") == F.max("check"), F.min("id")).otherwise(F.raise_error(F.lit("two sets have the same hash; change the multipliers")))
-    classes = materialize(rows.filter("n > 0 and id is not null").groupBy("cid").agg(alike.alias("rep"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in SKETCH], F.first("fine").alias("fine")), "classes")
-    meet = materialize(shared.select("cid").distinct().join(classes, "cid"), "meet")
-    wanted = likely(docs.select(F.col(f"`{doc_id}`").alias("rep"), F.col(f"`{text}`").alias("text")), "rep", meet.select("rep"))
-    texts = materialize(wanted.filter("__likely").drop("__likely"), "texts")
+    classes = made.table(rows.filter("n > 0 and id is not null").groupBy("cid").agg(alike.alias("rep"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in SKETCH], F.first("fine").alias("fine")), "classes")
+    same = made.table(same_lists(shared), "same")
+    mixed = made.table(shared.join(same.filter("e = one").select("e"), "e", "left_semi").withColumn("comp", F.col("cid")), "mixed")
+    meet = made.table(classes.join(mixed.select("cid").distinct(), "cid", "left_semi"), "meet")
+    wanted = likely(docs.select(column(doc_id).alias("rep"), column(text).alias("text")), "rep", meet.select("rep"), "wanted")
+    texts = made.table(wanted.filter("wanted").drop("wanted"), "texts")
 
     def told(pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and sketches allow, with their documents."""
@@ -274,34 +361,51 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         return pairs.join(x, "a").join(y, "b").filter(may_match("x", "y", share, of) & may_match("x", "y", share, of, True)).select("a", "b", F.col("x.rep").alias("a_rep"), F.col("y.rep").alias("b_rep"))
 
     # In rounds, each class tries the smallest of another component that shares a bucket with it, of
-    # those that may match and weren't tried, until a round links nothing more.
-    mixed = shared.withColumn("comp", F.col("cid"))
+    # those that may match and weren't tried.
     links = tried = None
-    for _ in range(LINKING_ROUNDS):
-        low = F.min(F.struct("comp", "cid")).over(bucket)
-        near = mixed.withColumn("low", low).filter(F.col("low.comp") < F.col("comp")).select(F.col("low.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    for k in range(LINKING_ROUNDS):
+        low = mixed.groupBy("e").agg(F.min(F.struct("comp", "cid")).alias("low"))
+        near = mixed.join(low, "e").filter(F.col("low.comp") < F.col("comp")).select(F.col("low.cid").alias("a"), F.col("cid").alias("b")).distinct()
         if tried is not None:
             near = near.join(tried, ["a", "b"], "left_anti")
         first = told(near).groupBy("b").agg(F.min(F.struct("a", "a_rep")).alias("x"), F.first("b_rep").alias("b_rep")).select("x.a", "b", "x.a_rep", "b_rep")
-        first = materialize(first, "first")
+        first = made.table(first, f"first{k}")
         tried = first.select("a", "b") if tried is None else tried.union(first.select("a", "b"))
-        new = materialize(verify(first, texts, width, share, of), "links")
+        new = made.table(verify(first, texts, width, share, of), f"links{k}")
         links = new if links is None else links.union(new)
         if not new.limit(1).count():
             break
-        labels = components(links)
-        again = mixed.select("e", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        again = again.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).filter("low < high").select("e", "cid", "comp")
-        mixed = materialize(again, "mixed")
+        labels = components(links).withColumnRenamed("node", "cid")
+        again = mixed.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        mixed = made.table(of_several(again), "mixed")
+    # Classes that own an entry in a dear bucket are indexed again, without these parts.
+    dear = made.table(dear_lists(mixed), "dear")
+    if dear.limit(1).count():
+        owners = made.table(mixed.join(dear, "e", "left_semi").select("cid", "comp").distinct(), "owners")
+        of_owner = made.table(texts.join(meet.join(owners, "cid", "left_semi").select("cid", "rep"), "rep").select("cid", "text"), "owned")
+        hot = same.join(dear.withColumnRenamed("e", "one"), "one", "left_semi").select("e")
+        theirs = class_entries(of_owner, width, share, of).join(hot, "e", "left_semi").groupBy("cid").agg(F.collect_set("e").alias("dear"))
+        again = class_entries(of_owner.join(theirs, "cid").select("cid", "text", "dear"), width, share, of)
+        again = again.dropDuplicates(["e", "cid"]).join(owners, "cid").select("e", "cid", "whole", "comp")
+        rest = mixed.join(owners, "cid", "left_anti").select("e", "cid", "whole", "comp")
+        mixed = made.table(of_several(rest.unionByName(again)), "mixed")
+        one = same_lists(mixed).filter("e = one").select("e")
+        mixed = made.table(mixed.join(one, "e", "left_semi"), "mixed")
     # Then every pair of different components that shares a bucket.
-    mixed = materialize(mixed.join(meet.drop("fine", "rep"), "cid"), "mixed")
-    pair = mixed.alias("x").join(mixed.alias("y"), (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & may_match("x", "y", share, of))
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("e"))
+    heads = mixed.withColumn("nth", nth).filter(F.col("nth") <= HEAD).groupBy("cid").agg(F.collect_list("e").alias("head"))
+    mixed = made.table(mixed.join(meet.drop("fine", "rep").join(heads, "cid"), "cid"), "mixed")
+    one, two = F.col("x.head"), F.col("y.head")
+    before = F.exists(F.array_intersect(one, two), lambda e: e < F.col("x.e"))
+    apart = (F.col("x.comp") < F.col("y.comp")) & (F.col("x.whole") | F.col("y.whole"))
+    pair = mixed.alias("x").join(mixed.alias("y"), (F.col("x.e") == F.col("y.e")) & apart & may_match("x", "y", share, of) & ~before)
     pairs = told(pair.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
-    more = materialize(verify(materialize(pairs, "pairs"), texts, width, share, of), "links")
+    more = made.table(verify(made.table(pairs, "pairs"), texts, width, share, of), "links")
     labels = components(links.union(more))
     known = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    group = known.join(least, "comp").select("cid", "component_id")
+    group = made.table(known.join(least, "comp").select("cid", "component_id"), "group")
+    made.keep("index", "group")
     own = rows.select("id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
     return own.join(group, "cid", "left").select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
@@ -310,10 +414,13 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     """docs without those that link to one of a smaller id, directly or not; all columns as they were.
 
     Only rows that may have to go are joined with the list of those that do; the rest isn't shuffled.
-    Rows that share an id are one document, and null ids stay.
+    Rows that share an id are one document, and null ids stay. Other columns may have any names.
     """
-    linked = link(docs, doc_id=doc_id, text=text, width=width, share=share, of=of)
-    gone = materialize(linked.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone")).distinct(), "gone")
-    flagged = likely(docs, doc_id, gone)
-    kept = flagged.filter("__likely").join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
-    return flagged.filter("not __likely").unionByName(kept).drop("__likely")
+    made = Scratch(docs.sparkSession)
+    linked = link(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text")), width=width, share=share, of=of, made=made)
+    p = prefix(docs.columns)
+    gone = made.table(linked.filter("doc_id != component_id").select(F.col("doc_id").alias(f"{p}gone")).distinct(), "gone")
+    made.keep("gone")
+    flagged = likely(docs, doc_id, gone, f"{p}likely")
+    kept = flagged.filter(f"{p}likely").join(gone, column(doc_id) == F.col(f"{p}gone"), "left_anti")
+    return flagged.filter(f"not {p}likely").unionByName(kept).drop(f"{p}likely")
