@@ -16,7 +16,8 @@ equal ones. These e + y differ by y in all, the rest by at least 1 each, and all
 most e - 1 of the rest differ by more than 1. Either set sees e + y <= z + t and e <= z, so among its
 first 2 z + t segments are at least e of the rest, and one of these differs by exactly 1: both sets
 index it, the smaller one as a part, the larger as a subset. If 2 z + t exceeds the number of segments,
-all parts and subsets are indexed and nothing is skipped.
+a set indexes these subsets in all segments and skips no part, so that it meets the sets which skip and,
+by an equal part, those which don't.
 
 The index is built twice. At first only empty parts are skipped. Equal sets form classes, and only
 classes are compared. In rounds each class meets its bucket's smallest member of another component, and
@@ -27,8 +28,8 @@ indexed again, without these parts. Of other classes all pairs are found without
 dear buckets meets a similar one in a bucket that isn't dear. What is left is paired by bucket.
 
 Two sets that share hundreds of buckets would be paired in each. Buckets of the same members are one
-bucket, and each entry carries its class's HEAD smallest entries: a pair is left out where the two heads
-have a smaller entry in common, because it is found there.
+bucket, and each entry carries its class's HEAD smallest entries of whole parts: a pair is left out where
+the two heads have a smaller entry in common, because it is found there.
 
 Sketches of 256 and then 1024 parity bits, of which similar sets differ in at most H, drop candidates
 before their texts are fetched; what remains is verified on the whole texts' sets. Shingles are
@@ -57,8 +58,9 @@ CACHED_WORDS = 400_000
 SEEN_CLASSES = 500_000
 VERIFIED_TOGETHER = 64
 LINKING_ROUNDS = 3
-#: A bucket with more pairs of different components than this for each entry is dear.
-PAIRS_A_ENTRY = 16
+#: A bucket with more pairs of different components than this for each entry is dear. Indexing a class again
+#: takes some hundreds of entries, so fewer pairs than that are cheaper to try.
+PAIRS_A_ENTRY = 256
 HEAD = 8
 #: Bits of the filter that keeps documents which are no candidates from being shuffled: 4 MB.
 FILTER_BITS = 2**25
@@ -156,7 +158,7 @@ def entries(s: np.ndarray, share: int, of: int, dear: np.ndarray | None = None)
         found.append(x.parts if near > m else x.parts[~skipped])
         whole.append(np.ones(len(found[-1]), bool))
         if near:
-            found.append(x.subsets(np.flatnonzero((x.part < near) & ((near > m) | ~bare))))
+            found.append(x.subsets(np.flatnonzero((x.part < near) & ~bare)))
             whole.append(np.zeros(len(found[-1]), bool))
     return np.concatenate(found), np.concatenate(whole)
 
@@ -393,10 +395,10 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         mixed = made.table(mixed.join(one, "e", "left_semi"), "mixed")
     # Then every pair of different components that shares a bucket.
     nth = F.row_number().over(Window.partitionBy("cid").orderBy("e"))
-    heads = mixed.withColumn("nth", nth).filter(F.col("nth") <= HEAD).groupBy("cid").agg(F.collect_list("e").alias("head"))
-    mixed = made.table(mixed.join(meet.drop("fine", "rep").join(heads, "cid"), "cid"), "mixed")
+    heads = mixed.filter("whole").withColumn("nth", nth).filter(F.col("nth") <= HEAD).groupBy("cid").agg(F.collect_list("e").alias("head"))
+    mixed = made.table(mixed.join(meet.drop("fine", "rep").join(heads, "cid", "left"), "cid"), "mixed")
     one, two = F.col("x.head"), F.col("y.head")
-    before = F.exists(F.array_intersect(one, two), lambda e: e < F.col("x.e"))
+    before = F.coalesce(F.exists(F.array_intersect(one, two), lambda e: e < F.col("x.e")), F.lit(False))
     apart = (F.col("x.comp") < F.col("y.comp")) & (F.col("x.whole") | F.col("y.whole"))
     pair = mixed.alias("x").join(mixed.alias("y"), (F.col("x.e") == F.col("y.e")) & apart & may_match("x", "y", share, of) & ~before)
     pairs = told(pair.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
