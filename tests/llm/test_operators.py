@@ -157,7 +157,7 @@ def brute_components(texts, width, share):
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("width,share,dear_at", [(4, 85, 256), (5, 80, 256), (4, 85, 0), (5, 80, 0)])
+@pytest.mark.parametrize("width,share,dear_at", [(4, 85, 2048), (5, 80, 2048), (4, 85, 0), (5, 80, 0)])
 def test_jaccard(spark, monkeypatch, width, share, dear_at):
     """Also where every bucket of several components is dear, so that all of their classes are indexed again."""
     monkeypatch.setattr(jaccard, "PAIRS_A_ENTRY", dear_at)

@@ -59,8 +59,8 @@ SEEN_CLASSES = 500_000
 VERIFIED_TOGETHER = 64
 LINKING_ROUNDS = 3
 #: A bucket with more pairs of different components than this for each entry is dear. Indexing a class again
-#: takes some hundreds of entries, so fewer pairs than that are cheaper to try.
-PAIRS_A_ENTRY = 256
+#: reads its text twice and shuffles hundreds of entries, which takes as long as trying thousands of pairs.
+PAIRS_A_ENTRY = 2048
 HEAD = 8
 #: Bits of the filter that keeps documents which are no candidates from being shuffled: 4 MB.
 FILTER_BITS = 2**25
@@ -231,8 +231,8 @@ def index(docs: DataFrame, doc_id: str, text: str, width: int, share: int, of: i
 
 
 def class_entries(texts: DataFrame, width: int, share: int, of: int) -> DataFrame:
-    """(cid, text) to (e, cid), all entries that a class may get; (cid, text, dear) to (e, cid, whole),
-    those that it gets if it does without the dear ones. Texts of other classes give nothing."""
+    """(cid, comp, text) to (e, cid), all entries that a class may get; with dear as well to (e, cid, comp,
+    whole), those that it gets if it does without these. Texts of other classes give nothing."""
     measured = "dear" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,12 +242,13 @@ def class_entries(texts: DataFrame, width: int, share: int, of: int) -> DataFram
                 if class_of(s)[0] != cid:
                     continue
                 if measured:
-                    e, *rest = entries(s, share, of, b.column("dear")[k].values.to_numpy().view(np.uint64))
+                    e, whole = entries(s, share, of, b.column("dear")[k].values.to_numpy().view(np.uint64))
+                    rest = [np.full(len(e), b.column("comp")[k].as_py()), whole]
                 else:
                     e, rest = possible_entries(s, share, of), []
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e.view(np.int64), np.full(len(e), cid), *rest)], ["e", "cid", "whole"][: 2 + len(rest)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (e.view(np.int64), np.full(len(e), cid), *rest)], ["e", "cid", "comp", "whole"][: 2 + len(rest)])
 
-    return texts.mapInArrow(run, "e long, cid long" + ", whole boolean" * measured)
+    return texts.mapInArrow(run, "e long, cid long" + ", comp long, whole boolean" * measured)
 
 
 def same_lists(entries: DataFrame) -> DataFrame:
@@ -384,11 +385,11 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     dear = made.table(dear_lists(mixed), "dear")
     if dear.limit(1).count():
         owners = made.table(mixed.join(dear, "e", "left_semi").select("cid", "comp").distinct(), "owners")
-        of_owner = made.table(texts.join(meet.join(owners, "cid", "left_semi").select("cid", "rep"), "rep").select("cid", "text"), "owned")
+        of_owner = made.table(texts.join(meet.join(owners, "cid").select("cid", "comp", "rep"), "rep").select("cid", "comp", "text"), "owned")
         hot = same.join(dear.withColumnRenamed("e", "one"), "one", "left_semi").select("e")
         theirs = class_entries(of_owner, width, share, of).join(hot, "e", "left_semi").groupBy("cid").agg(F.collect_set("e").alias("dear"))
-        again = class_entries(of_owner.join(theirs, "cid").select("cid", "text", "dear"), width, share, of)
-        again = again.dropDuplicates(["e", "cid"]).join(owners, "cid").select("e", "cid", "whole", "comp")
+        again = class_entries(of_owner.join(theirs, "cid").select("cid", "comp", "text", "dear"), width, share, of)
+        again = again.dropDuplicates(["e", "cid"]).select("e", "cid", "whole", "comp")
         rest = mixed.join(owners, "cid", "left_anti").select("e", "cid", "whole", "comp")
         mixed = made.table(of_several(rest.unionByName(again)), "mixed")
         one = same_lists(mixed).filter("e = one").select("e")

@@ -14,8 +14,10 @@ have isn't sorted in one task.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from functools import cache
 
 import numpy as np
@@ -29,8 +31,10 @@ from .common import bucket_count, materialize
 SIZE = 4096
 END_ID = 1
 RANKED_TOGETHER = 50_000
-#: A worker forgets its chunks beyond this number.
-CACHED_CHUNKS = 400_000
+#: A worker keeps the ids of so many of the last parts at least, and of about twice as many at most.
+CACHED = 200_000
+#: Parts of more characters are encoded each time.
+LONGEST_CACHED = 64
 ENCODED_TOGETHER = 20_000
 GROUP_CHARS = 4_000_000
 
@@ -43,47 +47,82 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_known: dict[str, dict[str, bytes]] = {}
+_LOWER = [c for c in map(chr, range(0x21, 0x100)) if unicodedata.category(c)[0] in "LNPS" and c == c.lower()]
+_kind = lambda k: "".join(re.escape(c) for c in _LOWER if unicodedata.category(c)[0] in k)
+#: Lower-case Latin-1 between plain blanks, which the tokenizer's normalizer leaves as it is.
+PLAIN = re.compile(rf"[ \n\r\t{_kind('LNPS')}]*")
+#: Fixed value: the pattern of what the tokenizer encodes on its own, for such texts.
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_kind('L')}]+|[{_kind('N')}]|[{_kind('PS')}]+")
 
 
-def _chunks(text: str) -> list[str]:
-    """What stands between blanks and line ends; the tokenizer never joins across these.
+class _Recent(dict):
+    """A dict in two generations: turn() forgets what wasn't used since the last time."""
 
-    It lower-cases, so chunks may be lower-cased before, which leaves fewer different ones. That is
-    done for Latin-1, where letters map one to one, and never where a special token may stand.
+    def __init__(self) -> None:
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def unknown(self, keys: Iterable) -> list:
+        return [k for k in keys if k not in self and k not in self.old]
+
+    def turn(self) -> None:
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+
+
+@cache
+def _known(path: str) -> _Recent:
+    return _Recent()
+
+
+def _parts(text: str) -> list[str]:
+    """Parts that the tokenizer encodes on their own, whatever stands around them.
+
+    It lower-cases; if the text is plain Latin-1 then, these are its pieces, else what stands between
+    blanks and line ends. Texts in which a special token may stand aren't lower-cased here.
     """
     if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
+        low = text.lower()
+        if PLAIN.fullmatch(low):
+            return PIECES.findall(low)
     return text.replace("\n", " ").split(" ")
 
 
+def _encode_each(parts: list[str], path: str) -> Iterator[tuple[str, bytes]]:
+    """Each part with its ids, many in one call: word_ids says whose an id is. Pieces are words of one text."""
+    pieces = [p for p in parts if PIECES.fullmatch(p)]
+    others = [p for p in parts if not PIECES.fullmatch(p)]
+    for kind, apart in ((pieces, False), (others, True)):
+        for k in range(0, len(kind), ENCODED_TOGETHER):
+            some = kind[k : k + ENCODED_TOGETHER]
+            e = _tokenizer(path).encode(some if apart else " ".join(some), is_pretokenized=apart, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
+            yield from ((c, ids[4 * a : 4 * b]) for c, a, b in zip(some, ends, ends[1:]))
+
+
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     """The token ids of each text as little-endian unsigned 32-bit numbers, without special ones."""
-    known = _known.setdefault(path, {})
+    known = _known(path)
     start = 0
     while start < len(texts):
         end, chars = start, 0
         while end < len(texts) and (end == start or chars + len(texts[end]) <= GROUP_CHARS):
             chars += len(texts[end])
             end += 1
-        cut = [_chunks(t) for t in texts[start:end]]
-        every = set().union(*cut)
-        if len(known) + len(every) > CACHED_CHUNKS:
-            known.clear()
-        new = [c for c in every if c not in known]
-        for k in range(0, len(new), ENCODED_TOGETHER):
-            part = new[k : k + ENCODED_TOGETHER]
-            # Each chunk is encoded on its own, in one call for many: word_ids says whose an id is.
-            e = _tokenizer(path).encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
-            known.update((c, ids[4 * a : 4 * b]) for c, a, b in zip(part, ends, ends[1:]))
-        for chunks in cut:
-            yield b"".join(map(known.__getitem__, chunks))
+        cut = [_parts(t) for t in texts[start:end]]
+        known.turn()
+        new = known.unknown(set().union(*cut))
+        known.update(_encode_each(new, path))
+        for parts in cut:
+            yield b"".join(map(known.__getitem__, parts))
+        for p in new:
+            if len(p) > LONGEST_CACHED:
+                del known[p]
         start = end
 
 
