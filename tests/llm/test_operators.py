@@ -42,6 +42,63 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="module")
+def clashing(edge):
+    """Columns that are named as an operator names its own."""
+    named = "__size __copies __gone __failed __n_words __n_lines __slot __p __row __rank __bucket __id __likely a.b ___x".split()
+    return edge.select("*", *[F.lit(k).alias(n) for k, n in enumerate(named)])
+
+
+def test_clashing_names(clashing, edge):
+    n = len(EDGE)
+    for out in (quality.keep_good(clashing), lines.without_repeats(clashing), jaccard.keep_first(clashing), mixing.emit(mixing.mix(clashing))):
+        assert out.columns == clashing.columns
+        assert all(r["__size"] == 0 and r["__gone"] == 2 and r["a.b"] == 13 for r in out.collect())
+    for out, more in ((quality.with_ledger(clashing), 9), (lines.dedup_lines(clashing), 2), (mixing.mix(clashing), 4), (sharding.place(clashing), 3)):
+        assert out.columns[:-more] == clashing.columns and len(set(out.columns)) == len(out.columns) and out.count() == n
+    assert mixing.mix(clashing).select(F.sum("____copies")).first()[0] == mixing.mix(edge).select(F.sum("__copies")).first()[0]
+    packed = packing.pack(clashing.select("*", F.lit(60).alias("the.length")), length="the.length", size=100)
+    assert packed.count() == n and packed.select("sequence_id").distinct().count() == n
+
+
+def naive_fill(names, slots):
+    """The table filled by walking each shard's whole preference list, turn by turn."""
+    wishes = []
+    for name in names:
+        d = hashlib.md5(name.encode()).digest()
+        start, step = int.from_bytes(d[:8], "big") % slots, int.from_bytes(d[8:], "big") % (slots - 1) + 1
+        wishes.append([(start + k * step) % slots for k in range(slots)])
+    owner = {}
+    while len(owner) < slots:
+        for k, wish in enumerate(wishes):
+            free = [s for s in wish if s not in owner]
+            if free:
+                owner[free[0]] = k
+    return [owner[s] for s in range(slots)]
+
+
+def test_fill_as_naive():
+    for names, slots in ((["a"], 2), ([f"s{k}" for k in range(7)], 101), ([f"n{k}" for k in range(30)], 211)):
+        assert sharding.fill(names, slots) == naive_fill(names, slots)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([1, 1e3, 1e6, 1e7]), st.booleans())
+def test_search_is_exact(seed, scale, collinear):
+    """Large, negative, tied and collinear vectors, with pivots among them."""
+    rng = np.random.default_rng(seed)
+    x = np.floor(rng.normal(size=(700, 4)) * scale)
+    if collinear:
+        x = np.floor(rng.integers(1, 50, size=(700, 1)) * np.array([[1.0, 2.0, 3.0, 4.0]]) * scale)
+    q = np.concatenate([-x[:3], x[3:6]])
+    ids, qids = np.arange(700), np.array([900, 901, 902, 3, 4, 5])
+    exact = [[int(c) for c in r] for r in x]
+    for i, best, score in topk._search(qids, q, ids, x, x[10:40], 10):
+        own = [int(c) for c in q[list(qids).index(i)]]
+        want = sorted((-sum(a * b for a, b in zip(own, r)), k) for k, r in enumerate(exact) if k != i)[:10]
+        assert [(-int(s), int(k)) for s, k in zip(score, best)] == want
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 

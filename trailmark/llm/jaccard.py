@@ -227,7 +227,7 @@ def index(docs: DataFrame, doc_id: str, text: str, width: int, share: int, of: i
                     yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(np.concatenate(of_class)), pa.array(np.concatenate(whole)), pa.nulls(len(e), doc.type)], names)
 
     schema = T.StructType([T.StructField("e", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("doc", doc_type)])
-    return docs.select(column(doc_id), column(text)).mapInArrow(run, schema)
+    return docs.select(column(doc_id).alias("id"), column(text).alias("text")).mapInArrow(run, schema)
 
 
 def class_entries(texts: DataFrame, width: int, share: int, of: int) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import column, prefix
+
 WINDOW = 3
 
 
@@ -20,9 +22,9 @@ def _lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
     """__id, __th (a hash of the text, so that rows which share an id stay apart), __at, __h1, __h2."""
-    numbered = F.transform(_lines(F.col(text)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    numbered = F.transform(_lines(column(text)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     full = F.filter(numbered, lambda s: F.trim(F.translate(s["x"], "\t\x0b\x0c\r", "    ")) != "")
-    lines = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__th"), full.alias("__full")).filter(F.size("__full") >= width)
+    lines = docs.select(column(doc_id).alias("__id"), F.xxhash64(column(text)).alias("__th"), full.alias("__full")).filter(F.size("__full") >= width)
 
     def hashes(j: Column) -> Column:
         parts = [F.element_at("__full", j + k + 1)["x"] for k in range(width)]
@@ -57,30 +59,29 @@ def later(wins: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WINDOW) -> DataFrame:
-    """docs with text cleaned and __n_lines and __n_removed after their own columns.
+    """docs with text cleaned and __n_lines and __n_removed after their own columns; with more underscores
+    if docs has such names.
 
     Blank lines inside a covered passage go with it, others stay. Documents of fewer than three lines
     with a word, null and empty texts come back unchanged (null stays null). Rows that repeat id and
     text are one document: none is cleaned because of the other, and both come out alike. A null id
     sorts first. Other columns pass through.
     """
-    wins = windows(docs, doc_id, text, width)
-    gone = later(wins).withColumnsRenamed({"__id": "__gid", "__th": "__gth"})
-    joined = docs.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gid")) & (F.xxhash64(F.col(text)) == F.col("__gth")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    cleaned = F.array_join(F.transform(kept, lambda i: F.element_at("__lines", i + 1)), "\n")
-    return (
-        joined.withColumn("__lines", _lines(F.col(text)))
-        .withColumn("__new", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(cleaned))
-        .withColumn("__n_lines", F.size("__lines").cast("long"))
-        .withColumn("__n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long"))
-        .select(*[F.col("__new").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
-    )
+    p = prefix(docs.columns)
+    gone = later(windows(docs, doc_id, text, width)).toDF(f"{p}id", f"{p}th", f"{p}gone")
+    joined = docs.join(gone, column(doc_id).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(column(text)) == F.col(f"{p}th")), "left")
+    own, gone = _lines(column(text)), F.col(f"{p}gone")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), gone)
+    cleaned = F.array_join(F.transform(kept, lambda i: F.element_at(own, i + 1)), "\n")
+    new = F.when(gone.isNull(), column(text)).otherwise(cleaned)
+    removed = F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")
+    return joined.select(*[new.alias(c) if c == text else column(c) for c in docs.columns], F.size(own).cast("long").alias(f"{p}n_lines"), removed.alias(f"{p}n_removed"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """docs with cleaned texts and their new lengths; documents of which no word is left go."""
     out = dedup_lines(docs, doc_id, text)
-    emptied = (F.col("__n_removed") > 0) & (F.trim(F.translate(F.col(f"`{text}`"), "\t\n\x0b\x0c\r", "     ")) == "")
-    length = F.when(F.col("__n_removed") > 0, F.char_length(F.col(f"`{text}`")).cast("long")).otherwise(F.col(f"`{n_chars}`"))
-    return out.filter(~emptied).select(*[length.alias(c) if c == n_chars else F.col(f"`{c}`") for c in docs.columns])
+    removed = F.col(out.columns[-1]) > 0
+    emptied = removed & (F.trim(F.translate(column(text), "\t\n\x0b\x0c\r", "     ")) == "")
+    length = F.when(removed, F.char_length(column(text)).cast("long")).otherwise(column(n_chars)) if n_chars in docs.columns else None
+    return out.filter(~emptied).select(*[length.alias(c) if c == n_chars else column(c) for c in docs.columns])

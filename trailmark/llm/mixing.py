@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import column, materialize, n_words, prefix
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
@@ -24,7 +24,7 @@ BROADCAST_ROWS = 50_000
 
 def source_sizes(docs: DataFrame, size: Column, source: str = "source") -> DataFrame:
     """One row per source (null is one): source, source_size."""
-    return docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("source_size"))
+    return docs.groupBy(column(source).alias("source")).agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("source_size"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MOST_REPEATS) -> DataFrame:
@@ -65,23 +65,27 @@ def draw(seed: str, doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, cap: int = MOST_REPEATS, seed: str = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with __size, __source_size, __target and __copies, how often the mix takes each row.
+    """docs with __size, __source_size, __target and __copies, how often the mix takes each row; with more
+    underscores if docs has such names.
 
     Null sources form one source, ranked last; null or empty texts have size 0 and follow their
     source's rate; rows that repeat an id share its draw; an empty table gives an empty one. Other
     columns pass through untouched, whatever their names.
     """
-    sized = docs.withColumn("__size", n_words(F.col(text)))
-    rates = targets(source_sizes(sized, F.col("__size"), source)).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
+    p = prefix(docs.columns)
+    sized = docs.withColumn(f"{p}size", n_words(column(text)))
+    rates = targets(source_sizes(sized, F.col(f"{p}size"), source)).select("source", "source_size", "target", "rate").toDF(*[p + x for x in ("source", "source_size", "target", "rate")])
     rates = materialize(rates, "rates")
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)  # else Spark shuffles both sides and splits large sources
-    whole = F.floor("__rate")
-    copies = whole + F.when(draw(seed, F.col(doc_id)) < F.col("__rate") - whole, 1).otherwise(0)
-    return sized.join(rates, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__copies", copies.cast("int")).drop("__source", "__rate")
+    rate = F.col(f"{p}rate")
+    copies = F.floor(rate) + F.when(draw(seed, column(doc_id)) < rate - F.floor(rate), 1).otherwise(0)
+    mixed = sized.join(rates, column(source).eqNullSafe(F.col(f"{p}source")))
+    return mixed.select(*map(column, docs.columns), *[p + x for x in ("size", "source_size", "target")], copies.cast("int").alias(f"{p}copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each row of mix() as often as it is taken, with the columns it had before."""
-    kept = [c for c in mixed.columns if c not in ("__size", "__source_size", "__target", "__copies")]
-    return mixed.filter("__copies > 0").select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    """Each row of mix() as often as it is taken, with the columns it had before mix() added its four."""
+    kept, copies = mixed.columns[:-4], column(mixed.columns[-1])
+    nth = prefix(mixed.columns) + "nth"
+    return mixed.filter(copies > 0).select(*map(column, kept), F.explode(F.sequence(F.lit(1), copies)).alias(nth)).drop(nth)

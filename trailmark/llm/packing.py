@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_count, materialize
+from .common import bucket_count, column, materialize, prefix
 
 SIZE = 4096
 END_ID = 1
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], [doc_id, *names])
 
     schema = T.StructType([field, T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names[1:])])
-    return docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return docs.select(column(doc_id).alias("id"), column(text).alias("text")).mapInArrow(run, schema)
 
 
 def fullest(counts: Mapping[int, int], size: int) -> dict[int, int]:
@@ -207,35 +207,36 @@ def plan(counts: Mapping[int, int], size: int = SIZE) -> tuple[np.ndarray, int]:
 
 
 def pack(parts: DataFrame, *, length: str = "length", size: int = SIZE) -> DataFrame:
-    """parts with sequence_id and offset; lengths are 1 to size, and no sequence exceeds size.
-
-    Columns of parts that start with two underscores aren't allowed; any others pass.
-    """
+    """parts with sequence_id and offset; lengths are 1 to size, and no sequence exceeds size. Other
+    columns pass, whatever their names, but for these two, which may not be there before."""
     spark = parts.sparkSession
-    rows = materialize(parts.withColumn("__row", F.monotonically_increasing_id()), "pieces")
-    counts = {r[0]: r[1] for r in rows.groupBy(length).count().collect()}  # at most size rows
+    p = prefix(parts.columns)
+    row, bucket, within, rank = (p + x for x in ("row", "bucket", "within", "rank"))
+    rows = materialize(parts.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    counts = {r[0]: r[1] for r in rows.groupBy(column(length).alias("length")).count().collect()}  # at most size rows
     if any(n is None or not 0 < n <= size for n in counts):
         raise ValueError(f"lengths have to be 1 to {size}")
     bins, _ = plan(counts, size)
     buckets = bucket_count(sum(counts.values()), RANKED_TOGETHER)
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(length).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(length, "__bucket").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = F.row_number().over(Window.partitionBy(length, "__bucket").orderBy("__row"))
-    ranked = rows.withColumn("__within", within).join(offsets, [length, "__bucket"]).withColumn("__rank", F.col("__within") - 1 + F.col("__before"))
+    rows = rows.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(f"{p}length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(column(length).alias(f"{p}length"), bucket).count().withColumn(f"{p}before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count").withColumnRenamed(bucket, f"{p}of")
+    ranked = rows.withColumn(within, F.row_number().over(Window.partitionBy(column(length), bucket).orderBy(row)))
+    ranked = ranked.join(offsets, (column(length) == F.col(f"{p}length")) & (F.col(bucket) == F.col(f"{p}of"))).withColumn(rank, F.col(within) - 1 + F.col(f"{p}before"))
     table = spark.sparkContext.broadcast(bins)
-    kept = [f for f in parts.schema.fields]
+    kept = parts.schema.fields
+    at = parts.columns.index(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         key = t[:, 0] << 44 | t[:, 1]
         for b in batches:
-            n, rank = b.column(length).to_numpy().astype(np.int64), b.column("__rank").to_numpy()
-            row = t[np.searchsorted(key, n << 44 | rank, "right") - 1]
-            times, slot = np.divmod(rank - row[:, 1], row[:, 3])
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(row[:, 2] + times), pa.array(row[:, 4] + slot * n)], [*(f.name for f in kept), "sequence_id", "offset"])
+            n, k = b.column(at).to_numpy().astype(np.int64), b.column(len(kept)).to_numpy()
+            row = t[np.searchsorted(key, n << 44 | k, "right") - 1]
+            times, slot = np.divmod(k - row[:, 1], row[:, 3])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(row[:, 2] + times), pa.array(row[:, 4] + slot * n)], [*(f.name for f in kept), "sequence_id", "offset"])
 
-    return ranked.select(*[F.col(f"`{f.name}`") for f in kept], "__rank").mapInArrow(run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return ranked.select(*[column(f.name) for f in kept], rank).toDF(*map(str, range(len(kept) + 1))).mapInArrow(run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack_documents(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import column, prefix
+
 GAPS = {ord(c): None for c in " \t\n\x0b\x0c\r"}
 SYMBOLS = "#*$%&|<>"
 
@@ -74,33 +76,35 @@ def _repeated(words: list[bytes]) -> int:
 
 
 def with_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs and, after their own columns, __<measure> for each measure and __failed, the failure bits.
+    """docs and, after their own columns, __<measure> for each measure and __failed, the failure bits; with
+    more underscores if docs has such names.
 
     One pass without a shuffle. Null texts measure as empty, repeated rows repeat, an empty table
     gives an empty ledger, other columns pass through.
     """
-    names = [f"__{x}" for x in MEASURES]
-    at = docs.columns.index(text)
+    p = prefix(docs.columns)
+    names = [p + x for x in MEASURES]
+    at, own = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [_measure(x) for x in b.column(at).to_pylist()]
             cols = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in cols)], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in cols)], [*own, *names])
 
-    measured = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)]))
+    measured = docs.toDF(*map(str, range(len(own)))).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in names)]))
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(RULES.values()):
         for x in MEASURES:
-            rule = re.sub(rf"\b{x}\b", f"__{x}", rule)
+            rule = re.sub(rf"\b{x}\b", p + x, rule)
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("__failed", bits)
+    return measured.withColumn(f"{p}failed", bits)
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the measures and failed: one row per row of docs."""
-    led = with_ledger(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), text)
-    return led.select(F.col(f"`{key}`"), *[F.col(f"__{x}").alias(x) for x in (*MEASURES, "failed")])
+    led = with_ledger(docs.select(column(key).alias("key"), column(text).alias("text")))
+    return led.select(F.col("key").alias(key), *[F.col(f"__{x}").alias(x) for x in (*MEASURES, "failed")])
 
 
 def mask(policy: str) -> int:
@@ -123,4 +127,4 @@ def ablations(led: DataFrame, policy: str = POLICY) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = POLICY, text: str = "text") -> DataFrame:
     """The rows of docs that the policy lets pass, with their own columns."""
-    return with_ledger(docs, text).filter(passes(policy, "__failed")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_ledger(docs, text).filter(passes(policy, prefix(docs.columns) + "failed")).select(*map(column, docs.columns))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import column, prefix
+
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{k:03d}" for k in range(256))
 
@@ -54,16 +56,20 @@ def lookup(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int = SLO
 
 
 def place(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """docs with __slot, __shard and __shard_name, in one pass without a shuffle.
+    """docs with __slot, __shard and __shard_name, in one pass without a shuffle; with more underscores if
+    docs has such names.
 
     Rows that repeat a key share its shard. Rows without a key are spread by their text, so that many
     of them don't meet in one shard; null texts count as empty there.
     """
-    k = F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.concat(F.lit("t"), F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    table = F.broadcast(lookup(docs.sparkSession, shards, slots))
-    return docs.withColumn("__slot", slot_of(k, slots)).join(table, "__slot").select(*[F.col(f"`{c}`") for c in docs.columns], "__slot", "__shard", "__shard_name")
+    p = prefix(docs.columns)
+    k = F.coalesce(F.concat(F.lit("k"), column(key).cast("string")), F.concat(F.lit("t"), F.coalesce(column(text), F.lit(""))))
+    names = [p + x for x in ("slot", "shard", "shard_name")]
+    table = F.broadcast(lookup(docs.sparkSession, shards, slots).toDF(*names))
+    return docs.withColumn(names[0], slot_of(k, slots)).join(table, names[0]).select(*map(column, docs.columns), *names)
 
 
 def write(placed: DataFrame, path: str) -> None:
-    """One folder per shard, each written by as many tasks as hold its rows."""
-    placed.drop("__slot", "__shard").withColumnRenamed("__shard_name", "shard").write.partitionBy("shard").parquet(path)
+    """What place() gave: one folder per shard, each written by as many tasks as hold its rows."""
+    *kept, _, _, name = placed.columns
+    placed.select(*map(column, kept), column(name)).write.partitionBy(name).parquet(path)

@@ -183,7 +183,7 @@ def count_tokens(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: st
     kind = field.dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
-    blocks = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).mapInArrow(_blocks(path, block_chars, to_arrow_type(field.dataType)), "block long, place int, word string, docs binary")
+    blocks = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_blocks(path, block_chars, to_arrow_type(field.dataType)), "block long, place int, word string, docs binary")
     by_word = blocks.repartition("word", F.when(F.col("word").isNull(), F.col("block"))).sortWithinPartitions("word")
     counted = by_word.mapInArrow(_count(path), "block long, place int, n long, docs binary")
     by_block = counted.repartition("block").sortWithinPartitions("block", "place")

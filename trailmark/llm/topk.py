@@ -58,8 +58,8 @@ def _search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, pivo
     x_far, q_far = far(x, xx), far(q, qq)
     for i in range(len(q)):
         least = np.abs(x_far - q_far[i]).max(1) if len(pivots) else np.zeros(len(x))
-        # The square roots round: half a unit in the bound makes up for that many times over.
-        most = (qq[i] + xx - least * least) / 2 * (1 + 1e-9) + 0.5
+        # The square roots round by parts of the norms, also where the bound itself is near zero or negative.
+        most = (qq[i] + xx - least * least) / 2 + 1e-9 * (qq[i] + xx + least * least) + 0.5
         order = np.argsort(-most, kind="stable")
         best_s, best_id = np.zeros(0), np.zeros(0, np.int64)
         for start in range(0, len(order), STEP):
