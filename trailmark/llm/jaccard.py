@@ -251,11 +251,21 @@ def class_entries(texts: DataFrame, width: int, share: int, of: int) -> DataFram
     return texts.mapInArrow(run, "e long, cid long" + ", comp long, whole boolean" * measured)
 
 
-def same_lists(entries: DataFrame) -> DataFrame:
-    """(e, one): for each bucket with more than one member and a whole part, the smallest of those that
-    have the same members. No more buckets have them than the smallest member has entries."""
-    kinds = [F.bit_xor(F.xxhash64(F.lit(x), "cid", "whole")).alias(x) for x in ("h1", "h2")]
-    lists = entries.groupBy("e").agg(F.count("*").alias("n"), F.max("whole").alias("whole"), *kinds).filter("n > 1 and whole")
+def members(entries: DataFrame) -> DataFrame:
+    """entries (e, cid, whole, ...) with n, h1 and h2, which tell what members their bucket has; of repeated
+    entries one, and none of buckets with a single member or without a whole part. Rows without `whole`
+    pass. One shuffle by e; a bucket's rows stream through its task."""
+    bucket = Window.partitionBy("e")
+    once = entries.withColumn("before", F.lag("cid").over(bucket.orderBy("cid"))).filter("whole is null or before is null or before != cid").drop("before")
+    shared = once.withColumn("n", F.count("whole").over(bucket)).filter("whole is null or n > 1")
+    kinds = {x: F.bit_xor(F.xxhash64(F.lit(x), "cid", "whole")).over(bucket) for x in ("h1", "h2")}
+    return shared.withColumns({"parts": F.max("whole").over(bucket), **kinds}).filter("whole is null or parts").drop("parts")
+
+
+def same_lists(told: DataFrame) -> DataFrame:
+    """(e, one) of members()' entries: for each bucket, the smallest of those that have the same members. No
+    more buckets have them than the smallest member has entries."""
+    lists = told.select("e", "n", "h1", "h2").distinct()
     return lists.select("e", F.min("e").over(Window.partitionBy("n", "h1", "h2")).alias("one"))
 
 
@@ -345,15 +355,13 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
     with the component of its own text. Other columns are ignored.
     """
     made = made or Scratch(docs.sparkSession)
-    bucket = Window.partitionBy("e")
-    found = index(docs, doc_id, text, width, share, of).withColumn("low", F.min("cid").over(bucket)).withColumn("high", F.max("cid").over(bucket))
-    found = made.table(found.filter("doc is not null or low < high").drop("low", "high"), "index")
+    found = made.table(members(index(docs, doc_id, text, width, share, of)), "index")
     rows = found.filter("doc is not null").select("doc.*", "cid")
-    shared = found.filter("doc is null").groupBy("e", "cid").agg(F.max("whole").alias("whole"))
+    shared = found.filter("doc is null")
     alike = F.when(F.min("check") == F.max("check"), F.min("id")).otherwise(F.raise_error(F.lit("two sets have the same hash; change the multipliers")))
     classes = made.table(rows.filter("n > 0 and id is not null").groupBy("cid").agg(alike.alias("rep"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in SKETCH], F.first("fine").alias("fine")), "classes")
     same = made.table(same_lists(shared), "same")
-    mixed = made.table(shared.join(same.filter("e = one").select("e"), "e", "left_semi").withColumn("comp", F.col("cid")), "mixed")
+    mixed = made.table(shared.select("e", "cid", "whole").join(same.filter("e = one").select("e"), "e", "left_semi").withColumn("comp", F.col("cid")), "mixed")
     meet = made.table(classes.join(mixed.select("cid").distinct(), "cid", "left_semi"), "meet")
     wanted = likely(docs.select(column(doc_id).alias("rep"), column(text).alias("text")), "rep", meet.select("rep"), "wanted")
     texts = made.table(wanted.filter("wanted").drop("wanted"), "texts")
@@ -392,7 +400,7 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         again = again.dropDuplicates(["e", "cid"]).select("e", "cid", "whole", "comp")
         rest = mixed.join(owners, "cid", "left_anti").select("e", "cid", "whole", "comp")
         mixed = made.table(of_several(rest.unionByName(again)), "mixed")
-        one = same_lists(mixed).filter("e = one").select("e")
+        one = same_lists(members(mixed)).filter("e = one").select("e")
         mixed = made.table(mixed.join(one, "e", "left_semi"), "mixed")
     # Then every pair of different components that shares a bucket.
     nth = F.row_number().over(Window.partitionBy("cid").orderBy("e"))
