@@ -32,7 +32,12 @@ def lit(x):
         (lambda: text.parse_folder_name(lit("2026-06-16 PH 96 - Super"))["title"], "Super"),
         (lambda: text.sheet_value(lit("1,234")), "1234"),
         (lambda: text.sheet_value(lit("#DIV/0!")), None),
-        (lambda: text.original_ext(lit("video/quicktime")), "mov"),
+        (lambda: text.original_ext(lit("IMAGE/HEIF")), "heif"),
+        (lambda: text.original_ext(lit(None)), "jpg"),
+        (lambda: text.media_kind(lit("a.TIFF")), "image"),
+        (lambda: text.parse_folder_name(lit("2026-06-16 - 7 SN - Noite"))["number"], 7),
+        (lambda: text.parse_folder_name(lit("Super 2026-06-16"))["title"], None),
+        (lambda: text.own_route_slug(lit("https://www.example.org:80/route/Abc-1/")), "abc-1"),
         (lambda: text.is_media_folder(lit("Mídias do passeio")), True),
         (lambda: time.iso_duration_s(lit("P1DT1H51M15.5S")), 86400 + 6660 + 15.5),
         (lambda: time.iso_duration_s(lit("1h")), None),

@@ -10,7 +10,7 @@ from trailmark import plans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = """a3_triples_to_entities a20_dedupe_first_by_key b6_facet_energy_range b7_facet_weekday b9_faceted_query b11_path_join b14_rdfs_closure b18_missing_fields
+CHECKED = """a3_triples_to_entities c1_purge c9_delete_keep_refs h9_census_derived c2_upsert a20_dedupe_first_by_key b6_facet_energy_range b7_facet_weekday b9_faceted_query b11_path_join b14_rdfs_closure b18_missing_fields
 b21_find_saved_route c3_merge_patch c5_patch_diff c7_assign_lists c10_remap_iris c13_split_by_class c21_three_way_verdict c22_upsert_routes d2_rule_values d11_validate
 e1_asof_tour e4_trip_candidates e5_best_trip e8_resolve_handles e9_near_duplicate_handles e10_hamming_dedup f2_route_stats f3_downsample_stride f4_resample_n f9_stops f10_visits
 f15_integrate_power h1_folder_rollup h12_series_numbers h14_feed h17_tour_summary n1_leg_energy r1_fuse_dem r2_smooth_gaussian r6_box_smooth r9_grid_edges g15_half_edges

@@ -256,9 +256,9 @@ def routes_depending_on(triples: DataFrame, slugs: DataFrame, p: str = "routeUrl
 
 def save_route_upsert(saved: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """saved and batch (id, slug, name, created, updated, distance): by id; and the batch rows whose slug
-    another id has."""
-    other = saved.select(F.col("id").alias("__id"), "slug")
-    conflicts = batch.join(other, "slug").filter("id != __id").drop("__id")
+    another id has, saved or smaller and in the same batch."""
+    other = saved.select(F.col("id").alias("__id"), "slug").union(batch.groupBy("slug").agg(F.min("id").alias("__id")).select("__id", "slug"))
+    conflicts = batch.join(other, "slug").filter("id != __id").drop("__id").distinct()
     ok = batch.join(conflicts.select("id"), "id", "left_anti")
     old = saved.select("id", F.col("created").alias("__c"))
     finite = F.when(F.col("distance").isNotNull() & ~F.isnan("distance") & (F.abs("distance") < float("inf")), F.round("distance", 1))

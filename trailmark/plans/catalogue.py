@@ -186,7 +186,7 @@ def b21(spark, d):
     return c.find_saved_route(saved, refs).select("ref", "id")
 
 
-@query("c1_purge", v.sql(f"SELECT s, p, o FROM facts WHERE s NOT IN {ROOTS}", "facts"))
+@query("c1_purge", v.sql(f"SELECT f.s, f.p, f.o FROM facts f ANTI JOIN {ROOTS} r ON f.s = r.s", "facts"))
 def c1(spark, d):
     f = v.facts(spark, d)
     return m.purge(f, roots(f)).select("s", "p", "o")
@@ -237,7 +237,7 @@ def c8(spark, d):
     return m.replace_person_fields(f, f.filter("p = 'name' and dump = 'customers'").withColumn("o", F.lower("o"))).select("s", "p", "o")
 
 
-@query("c9_delete_keep_refs", v.sql(f"SELECT s, p, o FROM facts WHERE s NOT IN {ROOTS}", "facts"))
+@query("c9_delete_keep_refs", v.sql(f"SELECT f.s, f.p, f.o FROM facts f ANTI JOIN {ROOTS} r ON f.s = r.s", "facts"))
 def c9(spark, d):
     f = v.facts(spark, d)
     routes = v.tours(spark, d).select(F.col("tour").alias("tour_iri"))

@@ -62,10 +62,10 @@ def h8(spark, d):
     return h.audit_matrix(gappy(spark, d), ["balance", "nation", "segment"], key="c_custkey")
 
 
-@query("h9_census_derived", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * 1000 / (l_quantity * 60), 4) AS mean_power, round(100 * (l_quantity * 60) / (l_quantity * 90), 4) AS pct_moving, round(l_extendedprice / 32000, 6) AS litres FROM lineitem")
+@query("h9_census_derived", "SELECT l_orderkey, l_linenumber, l_extendedprice * 1000 / (l_quantity * 60) AS mean_power, 100 * (l_quantity * 60) / (l_quantity * 90) AS pct_moving, l_extendedprice / 32000 AS litres FROM lineitem")
 def h9(spark, d):
     x = v.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("kj"), (F.col("l_quantity") * 60).alias("moving_s"), (F.col("l_quantity") * 90).alias("total_s"), F.lit(5).alias("people"))
-    return h.census_derived(x).select("l_orderkey", "l_linenumber", F.round("mean_power", 4).alias("mean_power"), F.round("pct_moving", 4).alias("pct_moving"), F.round("litres", 6).alias("litres"))
+    return h.census_derived(x).select("l_orderkey", "l_linenumber", "mean_power", "pct_moving", "litres")
 
 
 @query("h10_tour_display_stats", "SELECT c_custkey, CASE WHEN c_nationkey > 10 THEN c_nationkey - 10 END AS elapsed_s, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 4 END AS people, CASE WHEN c_custkey % 4 > 0 THEN 0 END AS new_people FROM customer")
