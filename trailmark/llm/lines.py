@@ -70,7 +70,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     p = prefix(docs.columns)
     gone = later(windows(docs, doc_id, text, width)).toDF(f"{p}id", f"{p}th", f"{p}gone")
     joined = docs.join(gone, column(doc_id).eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(column(text)) == F.col(f"{p}th")), "left")
-    own, gone = _lines(column(text)), F.col(f"{p}gone")
+    joined = joined.withColumn(f"{p}lines", _lines(column(text)))
+    own, gone = F.col(f"{p}lines"), F.col(f"{p}gone")
     kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), gone)
     cleaned = F.array_join(F.transform(kept, lambda i: F.element_at(own, i + 1)), "\n")
     new = F.when(gone.isNull(), column(text)).otherwise(cleaned)
