@@ -316,9 +316,9 @@ def may_match(a: str, b: str, share: int, of: int, fine: bool = False) -> Column
 def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int, of: int) -> DataFrame:
     """The pairs (a, b, a_rep, b_rep) of classes that are similar, as (a, b).
 
-    texts (rep, text) has the text of each class's document. A class that has many partners meets them
-    in groups of bounded size; its text travels once for each. Texts that share an id are told apart by
-    their class.
+    texts (rep, text) has the text of each class's document. Only those that a pair may name are shuffled.
+    A class that has many partners meets them in groups of bounded size; its text travels once for each.
+    Texts that share an id are told apart by their class.
     """
 
     def sets(t: pa.Table, cid: str, text: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -339,8 +339,9 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int, of: int)
 
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFIED_TOGETHER).alias("groups"))
     grouped = pairs.join(counts, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups")))
-    right = grouped.select("a", "g", "b", F.col("b_rep").alias("rep")).join(texts, "rep").select("a", "g", "b", "text")
-    own = texts.select(F.col("rep").alias("a_rep"), F.col("text").alias("own_text"))
+    named = {x: likely(texts, "rep", pairs.select(x), "named").filter("named").drop("named") for x in ("a_rep", "b_rep")}
+    right = grouped.select("a", "g", "b", F.col("b_rep").alias("rep")).join(named["b_rep"], "rep").select("a", "g", "b", "text")
+    own = named["a_rep"].select(F.col("rep").alias("a_rep"), F.col("text").alias("own_text"))
     left = grouped.select(F.col("a").alias("one"), F.col("g").alias("part"), "a_rep").distinct().join(own, "a_rep").select("one", "part", "own_text")
     return left.groupBy("one", "part").cogroup(right.groupBy("a", "g")).applyInArrow(run, "a long, b long")
 
