@@ -407,3 +407,27 @@ def test_components_of_a_long_chain(spark, ids):
     links = [*zip(chain, chain[1:]), (n + 2, n + 1), (n + 2, n + 3), (n + 9, n + 9)]
     got = {r["node"]: r["comp"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == dict.fromkeys(range(n), 0) | dict.fromkeys((n + 1, n + 2, n + 3), n + 1) | {n + 9: n + 9}
+
+
+def test_sketches_of_any_size(spark):
+    """Sketches of sets of any two sizes differ in as many bits as their groups' parities do."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 900, 1024, 1025, 1200, 5000)]
+    sets.append(sets[-1][40:])
+    rows = [(i, len(s), *map(int, jaccard.sketch(s)[1]), list(map(int, jaccard.sketch(s)[0]))) for i, s in enumerate(sets)]
+    t = spark.createDataFrame(rows, "i int, n long, k0 long, k1 long, k2 long, k3 long, fine array<long>")
+    ok = jaccard.may_match("x", "y", 80, 100, True)
+    got = {(r[0], r[1]): r[2] for r in t.alias("x").crossJoin(t.alias("y")).select("x.i", "y.i", ok).collect()}
+
+    def odd(s, bits):
+        return {int(p) for p, c in zip(*np.unique((s >> np.uint64(7)) % np.uint64(bits), return_counts=True)) if c % 2}
+
+    def size(s):
+        return next(b for b in (1024 << k for k in range(9)) if b >= len(s))
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = min(size(a), size(b))
+            near = 100 * min(len(a), len(b)) >= 80 * max(len(a), len(b)) and 180 * len(odd(a, bits) ^ odd(b, bits)) <= 20 * (len(a) + len(b))
+            assert got[i, j] == near, (len(a), len(b))
+    assert got[6, 7] and not got[4, 5]

@@ -31,9 +31,9 @@ Two sets that share hundreds of buckets would be paired in each. Buckets of the
 bucket, and each entry carries its class's HEAD smallest entries of whole parts: a pair is left out where
 the two heads have a smaller entry in common, because it is found there.
 
-Sketches of 256 and then 1024 parity bits, of which similar sets differ in at most H, drop candidates
-before their texts are fetched; what remains is verified on the whole texts' sets. Shingles are
-compared by 64-bit hashes.
+Sketches of 256 and then 1024 parity bits, of larger sets as many as shingles, of which similar sets
+differ in at most H, drop candidates before their texts are fetched; what remains is verified on the
+whole texts' sets. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -170,11 +170,13 @@ def possible_entries(s: np.ndarray, share: int, of: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each of 1024 groups of shingles, whether it has an odd number of members, as 16 longs; and the
-    same of 256 larger groups, as 4 longs."""
-    odd = np.bincount(((s >> np.uint64(7)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    """Of each of 1024 groups of shingles, or the next power of two of them that isn't below the set's size,
+    whether it has an odd number of members, in longs; and the same of 256 larger groups, as 4 longs. The
+    sketch of fewer groups is that of more with its parts of that length put together by exclusive or."""
+    bits = max(1024, 1 << (len(s) - 1).bit_length()) if len(s) else 1024
+    odd = np.bincount(((s >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     fine = np.packbits(odd.astype(np.uint8)).view(np.int64)
-    return fine, np.bitwise_xor.reduce(fine.reshape(4, 4), axis=0)
+    return fine, np.bitwise_xor.reduce(fine.reshape(-1, 4), axis=0)
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
@@ -306,7 +308,10 @@ def may_match(a: str, b: str, share: int, of: int, fine: bool = False) -> Column
     """Whether sizes and sketches allow classes a and b, aliases with n and sketch, to be similar."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     if fine:
-        bits = F.zip_with(F.col(f"{a}.fine"), F.col(f"{b}.fine"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        one, two = F.col(f"{a}.fine"), F.col(f"{b}.fine")
+        m = F.least(F.size(one), F.size(two))
+        short = lambda x: F.when(F.size(x) == m, x).otherwise(F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.aggregate(F.sequence(j, F.size(x) - 1, m), F.lit(0).cast("long"), lambda t, i: t.bitwiseXOR(x[i]))))
+        bits = F.zip_with(short(one), short(two), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         differ = F.aggregate(bits, F.lit(0), lambda t, x: t + x)
     else:
         differ = sum((F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in SKETCH), F.lit(0))
