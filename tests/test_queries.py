@@ -14,7 +14,9 @@ CHECKED = """a3_triples_to_entities c1_purge c9_delete_keep_refs h9_census_deriv
 b21_find_saved_route c3_merge_patch c5_patch_diff c7_assign_lists c10_remap_iris c13_split_by_class c21_three_way_verdict c22_upsert_routes d2_rule_values d11_validate
 e1_asof_tour e4_trip_candidates e5_best_trip e8_resolve_handles e9_near_duplicate_handles e10_hamming_dedup f2_route_stats f3_downsample_stride f4_resample_n f9_stops f10_visits
 f15_integrate_power h1_folder_rollup h12_series_numbers h14_feed h17_tour_summary n1_leg_energy r1_fuse_dem r2_smooth_gaussian r6_box_smooth r9_grid_edges g15_half_edges
-l1_validate_fix s1_text_keys s7_parse_folder_name s8_durations s12_dates s22_files s25_xml_and_paragraphs""".split()
+l1_validate_fix s1_text_keys s7_parse_folder_name s8_durations s12_dates s22_files s25_xml_and_paragraphs
+a1_read_triples a7_census_rows a9_gpx_points a10_gpx_pois a11_track_points a11b_track_places a12_trip_points a14_decode_polyline a15_saved_route_geometry a15b_saved_route_places g5_filter_relations
+g7_crossings g10_emit_edges g11_deck_flatten n6_swept_passes n9_repulsion_cost s15_sheet_and_exif s18_minute_round_local s24_archive_names""".split()
 
 
 @pytest.fixture(scope="module")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -139,14 +140,12 @@ def near_duplicate_handles(handles: DataFrame) -> DataFrame:
     return typo.union(prefix).distinct()
 
 
-BANDS = ((1, 11), (12, 11), (23, 11), (34, 11), (45, 10), (55, 10))
 
-
-def hamming_bands(hash_: Column) -> Column:
-    """The 64 bits of 16 hex digits in six parts: within five bits, one part at least is equal."""
-    digit = lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")
-    bits = F.array_join(F.transform(F.split(hash_, ""), digit), "")
-    return F.array(*[F.concat(F.lit(f"{n}:"), F.substring(bits, a, w)) for n, (a, w) in enumerate(BANDS)])
+def hamming_bands(hash_: Column, most: int = 5) -> Column:
+    """Every choice of 8 - most of the eight bytes of 16 hex digits: within that many bits, one at least is equal.
+    Three bytes, 24 bits, keep the lists of unrelated hashes short."""
+    byte = lambda k: F.substring(hash_, 2 * k + 1, 2)
+    return F.array(*[F.concat(F.lit("".join(map(str, ks)) + ":"), *map(byte, ks)) for ks in combinations(range(8), 8 - most)])
 
 
 def hamming_dedup(incoming: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
@@ -154,8 +153,8 @@ def hamming_dedup(incoming: DataFrame, known: DataFrame, most: int = 5) -> DataF
     first earlier row, of the same kind within `most` bits. Equal hashes are compared as one."""
     k = known.groupBy("kind", "hash").agg(F.min("id").alias("id"))
     i = incoming.groupBy("kind", "hash").agg(F.min("row").alias("first"))
-    kb = k.select("id", "kind", F.col("hash").alias("h2"), F.explode(hamming_bands(F.col("hash"))).alias("band"))
-    ib = i.select("kind", "hash", "first", F.explode(hamming_bands(F.col("hash"))).alias("band"))
+    kb = k.select("id", "kind", F.col("hash").alias("h2"), F.explode(hamming_bands(F.col("hash"), most)).alias("band"))
+    ib = i.select("kind", "hash", "first", F.explode(hamming_bands(F.col("hash"), most)).alias("band"))
     near = hamming_hex(F.col("hash"), F.col("h2")) <= most
     by_known = ib.join(kb, ["kind", "band"]).filter(near).groupBy("kind", "hash").agg(F.min("id").alias("id"))
     other = ib.select("kind", F.col("hash").alias("h2"), F.col("first").alias("f2"), "band")

@@ -1,6 +1,6 @@
 """Queries over the given tables, one per operator, each with the SQL that has to agree."""
 
-from . import catalogue, matching, reporting, spatial
+from . import catalogue, matching, reading, reporting, spatial
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalogue", "matching", "reporting", "spatial"]
+__all__ = ["QUERIES", "SQL", "catalogue", "matching", "reading", "reporting", "spatial"]

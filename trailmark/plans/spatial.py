@@ -246,11 +246,6 @@ def net(spark, d):
     return x.select((F.col("trip") * 100_000 + F.floor((F.col("seq") - 1) / 2)).alias("line"), ((F.col("seq") - 1) % 2).alias("seq"), ((F.col("lat") + 24) * 100).alias("r"), ((F.col("lng") + 47) * 100).alias("c"))
 
 
-CROSS = """n AS (SELECT trip * 100000 + (seq - 1) // 2 AS line, (seq - 1) % 2 AS seq, (lat + 24) * 100 AS r, (lng + 47) * 100 AS c FROM fixes),
-  s AS (SELECT a.line, a.r AS r1, a.c AS c1, b.r AS r2, b.c AS c2 FROM n a JOIN n b ON a.line = b.line AND a.seq = 0 AND b.seq = 1 WHERE a.r <> b.r OR a.c <> b.c),
-  x AS (SELECT a.line AS la, b.line AS lb, (a.r2 - a.r1) * (b.c2 - b.c1) - (a.c2 - a.c1) * (b.r2 - b.r1) AS den, b.r1 - a.r1 AS dr, b.c1 - a.c1 AS dc, a.r2 - a.r1 AS ar, a.c2 - a.c1 AS ac, b.r2 - b.r1 AS br, b.c2 - b.c1 AS bc FROM s a JOIN s b ON a.line < b.line AND greatest(a.r1, a.r2) >= least(b.r1, b.r2) AND greatest(b.r1, b.r2) >= least(a.r1, a.r2) AND greatest(a.c1, a.c2) >= least(b.c1, b.c2) AND greatest(b.c1, b.c2) >= least(a.c1, a.c2))"""
-
-
 @query("g8_t_junctions")
 def g8(spark, d):
     x = net(spark, d)
@@ -330,18 +325,26 @@ def n7(spark, d):
     return n.extract_path(tree, tree.select("origin", F.col("node").alias("target")))
 
 
+def references(spark, d):
+    """Every twentieth supplier, by number."""
+    s = v.roads(spark, d).select("a").distinct().filter(F.substring("a", 2, 20).cast("long") % 20 == 0)
+    return s.select(F.col("a").alias("origin"), F.col("a").alias("node"))
+
+
 @query("n12_density")
 def n12(spark, d):
-    e = v.roads(spark, d)
-    refs = e.select("a").distinct().orderBy("a").limit(4).select(F.col("a").alias("origin"), F.col("a").alias("node"))
-    return n.density(half(spark, d), refs, e_max=3.0)[0]
+    return n.density(half(spark, d), references(spark, d))[0]
+
+
+@query("n12b_mean_energy")
+def n12b(spark, d):
+    return n.mean_energy(n.partial_energy(n.reach(half(spark, d), references(spark, d))))
 
 
 @query("n13_accessibility_matrix")
 def n13(spark, d):
-    e = v.roads(spark, d)
-    refs = e.select("a").distinct().orderBy("a").limit(5).select(F.col("a").alias("origin"), F.col("a").alias("node"))
-    return n.accessibility_matrix(n.reach(half(spark, d), refs, e_max=8.0), refs)
+    refs = references(spark, d)
+    return n.accessibility_matrix(n.reach(half(spark, d), refs), refs)
 
 
 @query("n14_partial_energy", v.sql("SELECT a AS node, sum(cost) AS energy_sum, count(*) AS reached FROM (SELECT a, cost FROM roads UNION ALL SELECT b, cost FROM roads) GROUP BY 1", "roads"))

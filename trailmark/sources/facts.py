@@ -25,7 +25,11 @@ def canonical_iri(iri: Column) -> Column:
 
 def read_triples(spark: SparkSession, paths: str | Sequence[str], dump: str | None = None) -> DataFrame:
     """Line-based N-Triples as facts, each once; the dump is the file's name unless given."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"))
+    return triple_rows(spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file")), dump)
+
+
+def triple_rows(lines: DataFrame, dump: str | None = None) -> DataFrame:
+    """lines (value, file) to facts; what isn't a triple gives none."""
     part = lambda k: F.regexp_extract("value", LINE, k)
     bare = lambda x: F.regexp_replace(x, "^<|>$", "")
     o = part(3)

@@ -99,18 +99,21 @@ def decode_polyline(text: Column) -> Column:
         more = c >= 32
         return F.struct(F.when(more, cur).otherwise(F.lit(0).cast("long")).alias("cur"), F.when(more, a["shift"] + 5).otherwise(F.lit(0)).alias("shift"), F.when(more, a["nums"]).otherwise(F.concat(a["nums"], F.array(signed))).alias("nums"))
 
-    done = F.aggregate(codes, start, step)
-    bad = F.exists(codes, lambda c: (c < 0) | (c > 63)) | (done["shift"] != 0) | (F.size(done["nums"]) % 2 != 0) | (F.size(done["nums"]) < 4)
     first = F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lng"), F.array().cast("array<struct<lat:double,lng:double>>").alias("pts"))
-    pairs = F.sequence(F.lit(0), F.floor(F.size(done["nums"]) / 2).cast("int") - 1)
 
-    def add(a: Column, k: Column) -> Column:
-        lat, lng = a["lat"] + F.get(done["nums"], 2 * k), a["lng"] + F.get(done["nums"], 2 * k + 1)
-        return F.struct(lat.alias("lat"), lng.alias("lng"), F.concat(a["pts"], F.array(F.struct((lat / 1e5).alias("lat"), (lng / 1e5).alias("lng")))).alias("pts"))
+    def points(nums: Column) -> Column:
+        def add(a: Column, k: Column) -> Column:
+            lat, lng = a["lat"] + F.get(nums, 2 * k), a["lng"] + F.get(nums, 2 * k + 1)
+            return F.struct(lat.alias("lat"), lng.alias("lng"), F.concat(a["pts"], F.array(F.struct((lat / 1e5).alias("lat"), (lng / 1e5).alias("lng")))).alias("pts"))
 
-    pts = F.aggregate(pairs, first, add)["pts"]
-    off = F.exists(pts, lambda p: (F.abs(p["lat"]) > 90) | (F.abs(p["lng"]) > 180))
-    return F.when(text.isNotNull() & ~bad, F.when(~off, pts))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(nums) / 2).cast("int") - 1), first, add)["pts"]
+
+    # A lambda's argument is computed once, an expression that is used again isn't.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    whole = lambda x: (x["shift"] == 0) & (F.size(x["nums"]) % 2 == 0) & (F.size(x["nums"]) >= 4)
+    there = lambda pts: F.when(~F.exists(pts, lambda p: (F.abs(p["lat"]) > 90) | (F.abs(p["lng"]) > 180)), pts)
+    fits = text.isNotNull() & ~F.exists(codes, lambda c: (c < 0) | (c > 63))
+    return F.when(fits, once(F.aggregate(codes, start, step), lambda x: F.when(whole(x), once(x["nums"], lambda nums: once(points(nums), there)))))
 
 
 def saved_route_geometry(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
