@@ -113,10 +113,10 @@ def timeline(tours: DataFrame, media: DataFrame) -> DataFrame:
     first = F.when(F.array_contains("lists", DEFAULT_LIST), 0).otherwise(1)
     items = F.sort_array(F.collect_list(F.struct(first.alias("a"), F.coalesce("date_lex", F.lit("9999")).alias("b"), F.col("m").alias("m"))))
     m = media.groupBy("tour").agg(F.transform(items, lambda s: s["m"]).alias("media"), F.count_if(first == 0).alias("n_default"), F.count("*").alias("n_all"))
-    # One row per calendar year is compared across tours, not the tours with each other.
+    # One row per year as written; bad dates may make them many, so Spark measures before it broadcasts.
     year = F.substring("date_lex", 1, 4)
     starts = tours.groupBy(year.alias("year")).agg(F.min(F.struct("date_lex", "tour")).alias("x")).select("year", F.col("x.tour").alias("first_tour"))
-    x = tours.withColumn("year", year).join(F.broadcast(starts), "year", "left").withColumn("year_break", F.col("tour") == F.col("first_tour")).drop("first_tour")
+    x = tours.withColumn("year", year).join(starts, "year", "left").withColumn("year_break", F.col("tour") == F.col("first_tour")).drop("first_tour")
     return x.join(m, "tour", "left").fillna(0, ["n_default", "n_all"]).orderBy("date_lex", "tour")
 
 

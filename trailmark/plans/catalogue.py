@@ -397,6 +397,23 @@ def d2(spark, d):
     return r.rule_values(v.facts(spark, d), rule_df(spark)).select("rule", "focus")
 
 
+def page_facts(spark, d):
+    """Pages with a picture, of every third on a local host, and a title, of every fifth with a wrong datatype."""
+    k = F.col("page_id")
+    image = F.when(k % 3 == 0, F.concat(F.lit("http://localhost:3000/"), k.cast("string"))).otherwise(F.concat(F.lit("https://x.example/"), k.cast("string")))
+    x = src.entities_to_triples(v.table(spark, d, "pages"), F.concat(F.lit("page/"), k.cast("string")), "Page", {"image": (image, "iri", None), "title": (F.concat(F.lit("Page "), k.cast("string")), "literal", "xsd:string")}, "pages")
+    number = F.substring("s", 6, 20).cast("long")
+    return x.withColumn("o_dtype", F.when(F.col("p") != "title", F.col("o_dtype")).when(number % 5 == 0, "xsd:date").when(number % 2 == 0, "rdf:langString").otherwise("xsd:string"))
+
+
+PAGE_RULES = (("Page", "image", r.W, dict(pattern_not=r.LOCAL_HOST)), ("Page", "title", r.W, dict(dtype="xsd:string|rdf:langString")))
+
+
+@query("d7_pattern_and_datatypes", "SELECT '00-Page-image-pattern_not' AS rule, 'page/' || page_id AS focus FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT '01-Page-title-dtype', 'page/' || page_id FROM pages WHERE page_id % 5 = 0")
+def d7(spark, d):
+    return r.rule_values(page_facts(spark, d), r.rule_table(spark, PAGE_RULES)).select("rule", "focus")
+
+
 @query("d3_rule_class", v.sql("SELECT '05-Order-customer-cls' AS rule, s AS focus FROM facts WHERE p = 'customer'", "facts"))
 def d3(spark, d):
     return r.rule_class(v.facts(spark, d), rule_df(spark)).select("rule", "focus")

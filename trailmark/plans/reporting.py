@@ -172,6 +172,17 @@ def l2(spark, d):
     return live.head_positions(x).select("id", "lat", "lng", "at")
 
 
+@query("l7_peer_cap", v.sql("SELECT lower(to_hex(trip)) AS id, min(t) AS first_seen FROM fixes GROUP BY 1 ORDER BY 2, 1 LIMIT 500", "fixes"))
+def l7(spark, d):
+    seen = v.fixes(spark, d).groupBy(F.lower(F.hex("trip")).alias("id")).agg(F.min("t").alias("first_seen"))
+    return live.peer_cap(seen)
+
+
+@query("l8_snapshot_view", v.sql("SELECT lower(to_hex(trip)) AS id, arg_max(lat, seq) AS lat, CAST(1.8e9 - max(t) AS DOUBLE) AS age FROM fixes GROUP BY 1", "fixes"))
+def l8(spark, d):
+    return live.snapshot_view(live.head_positions(fix_events(spark, d)), 1.8e9).select("id", "lat", "age")
+
+
 @query("l9_batch_equivalent")
 def l9(spark, d):
     good = live.validate_fix(fix_events(spark, d))[0]
