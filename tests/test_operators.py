@@ -135,6 +135,15 @@ def test_reach_passes_paths(spark):
     tree = energy.settled(energy.reach(half, src))
     want = brute([(a, b, x) for a, b, x, _ in edges] + [(b, a, y) for a, b, _, y in edges], 1)
     assert {r["node"]: r["energy"] for r in tree.collect()} == want
+    left = energy.inverted_reach(half, src, 8.0)
+    want = brute([(a, b, max(8.0 - c, 0.0)) for a, b, x, y in edges for a, b, c in ((a, b, x), (b, a, y))], 1)
+    assert {r["node"]: r["energy"] for r in left.collect()} == want
+    refs = spark.createDataFrame([("one", 1), ("five", 5), ("far", 7)], "origin string, node long")
+    known = {x: brute([(a, b, c) for a, b, x, y in edges for a, b, c in ((a, b, x), (b, a, y))], n) for x, n in (("one", 1), ("five", 5), ("far", 7))}
+    pairs = energy.accessibility_matrix(energy.reach(half, refs), refs).collect()
+    assert len(pairs) == 6 and all(r["energy"] == known[r["origin"]].get({"one": 1, "five": 5, "far": 7}[r["target"]], float("inf")) for r in pairs)
+    every = {r["node"]: (r["energy"], r["reached"]) for r in energy.density(half, refs)[1].collect()}
+    assert every == {n: (sum(x[n] for x in known.values() if n in x) / k, k) for n in range(1, 9) if (k := sum(n in x for x in known.values()))}
     flow = {r["node"]: r["passes"] for r in energy.passes(tree).collect()}
     assert flow == {1: 5, 2: 4, 3: 3, 4: 2, 5: 1}
     path = energy.extract_path(tree, spark.createDataFrame([("o", 5), ("o", 8)], "origin string, target long")).orderBy("back").collect()
@@ -258,3 +267,19 @@ def test_routes_over_dear_edges(spark, tmp_path):
     for r in plans.QUERIES["n8_top_n_routes"](spark, str(tmp_path)).collect():
         got.setdefault(r["route"], {})[r["node"]] = r["energy"]
     assert got == want and want[0] != want[1]
+
+
+def test_hamming_dedup_is_exact(spark):
+    import random
+
+    dice = random.Random(3)
+    base = [dice.getrandbits(64) for _ in range(12)]
+    hashes = [b ^ sum(1 << k for k in dice.sample(range(64), dice.randrange(9))) for b in base for _ in range(8)]
+    rows = [(n, "ab"[n % 2], f"{h:016x}") for n, h in enumerate(hashes)]
+    known = [(f"k{n}", "a", f"{h ^ 1:016x}") for n, h in enumerate(base[:3])]
+    got = matching.hamming_dedup(spark.createDataFrame(rows, "row long, kind string, hash string"), spark.createDataFrame(known, "id string, kind string, hash string"))
+    close = lambda x, y: (int(x, 16) ^ int(y, 16)).bit_count() <= 5
+    for r in got.collect():
+        n, kind, h = rows[r["row"]]
+        first = [i for i, k, x in known if k == kind and close(x, h)] or [str(m) for m, k, x in rows[:n] if k == kind and close(x, h)]
+        assert r["dup_of"] == (first[0] if first else None)

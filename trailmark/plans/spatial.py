@@ -347,6 +347,13 @@ def n13(spark, d):
     return n.accessibility_matrix(n.reach(half(spark, d), refs), refs)
 
 
+@query("n11_inverted_reach")
+def n11(spark, d):
+    e = half(spark, d)
+    most = e.agg(F.max("cost")).first()[0] + 1
+    return n.inverted_reach(e, origin(spark, d), most).select("origin", "node", "energy")
+
+
 @query("n14_partial_energy", v.sql("SELECT a AS node, sum(cost) AS energy_sum, count(*) AS reached FROM (SELECT a, cost FROM roads UNION ALL SELECT b, cost FROM roads) GROUP BY 1", "roads"))
 def n14(spark, d):
     e = v.roads(spark, d)
