@@ -258,7 +258,9 @@ def g9(spark, d):
     return g.snap_nodes(x, 0.01).select("key.i", "key.j", "r")
 
 
-@query("g13_node_elevation")
+@query("g13_node_elevation", v.sql("""WITH p AS (SELECT r, c, greatest(c - 1, 0) AS c0, CASE WHEN c = 0 THEN 0::DOUBLE ELSE 0.75::DOUBLE END AS fc FROM cells),
+  t AS (SELECT p.r, p.c, o.h, (CASE WHEN o.r = p.r THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) * (CASE WHEN o.c = c0 THEN 1 - fc ELSE fc END) AS w FROM p JOIN cells o ON o.r BETWEEN p.r AND p.r + 1 AND o.c BETWEEN c0 AND c0 + 1)
+  SELECT r || '/' || c AS id, r + 0.75::DOUBLE AS r, c + 0.25::DOUBLE AS c, sum(h * w) / sum(w) AS h, TRUE AS valid FROM t GROUP BY t.r, t.c""", "cells"))
 def g13(spark, d):
     c = v.cells(spark, d)
     nodes = c.select(F.concat_ws("/", "r", "c").alias("id"), (F.col("r") + 0.75).alias("r"), (F.col("c") + 0.25).alias("c"))
