@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, lines, mixing, oracles, packing, quality, sharding, tokens, topk, urls
+from . import chat, divergence, jaccard, lexical, lines, minhash, mixing, oracles, packing, quality, sharding, tokens, topk, urls
 from .common import table
 
 COUNTED_BY, PACKED_BY = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -93,13 +93,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_token_counts, op2_best_fit_packing, op3_line_dedup, op4_jaccard_join, op5_chat_format, op6_exact_top_k, op7_url_filter, op8_sharding, op9_mixing, op10_quality_rules)
+    named = (
+        *(op1_token_counts, op2_best_fit_packing, op3_line_dedup, op4_jaccard_join, op5_chat_format, op6_exact_top_k, op7_url_filter),
+        *(op8_sharding, op9_mixing, op10_quality_rules, op11_minhash, op12_source_divergence, op13_lexical_search),
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Token ids, sketches of sets and the slots of a filled table aren't SQL's; tests/llm has those."""
+    """Token ids, components and the slots of a filled table aren't SQL's; tests/llm has those."""
     return {
         "op3_line_dedup": oracles.OP3,
         "op5_chat_format": oracles.op5(TRICKY),
@@ -107,4 +122,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": oracles.op7(),
         "op9_mixing": oracles.op9(),
         "op10_quality_rules": oracles.op10(),
+        "op12_source_divergence": oracles.OP12,
+        "op13_lexical_search": oracles.OP13,
     }
