@@ -1,7 +1,6 @@
 """Operators on small rows of their own, where SQL has no say."""
 
 import heapq
-import time as clock
 
 import pandas as pd
 import pytest
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 from trailmark.functions import geo, text, time
 from trailmark.operators import catalogue, energy, matching, mutate, raster, roads, rules, trajectory
 from trailmark.sources import facts, files
-from trailmark.streaming import live
 
 
 def one(spark, column):
@@ -189,34 +187,6 @@ def test_phash(spark):
     assert len(got) == 2 and all(len(r["hash"]) == 16 for r in got)
 
 
-def fixes():
-    base = [("a", "fix", "n", 0.0, 0.0, 1e9, 0.0), ("a", "fix", "n", 0.0, 0.00005, 1e9, 7.0), ("a", "fix", "n", 0.0, 0.00005, 1e9, 8.0), ("a", "fix", "n", 0.0, 0.0002, 1e9, 9.0), ("b", "fix", "m", 1.0, 1.0, 5.0, 0.0), ("b-", "fix", "x", 1.0, 1.0, 5.0, 50.0), ("b-", "stop", None, None, None, None, 51.0), ("bad token", "fix", "x", 1.0, 1.0, 5.0, 50.0), ("c", "fix", "x", 91.0, 1.0, 5.0, 50.0)]
-    return [(*r, k) for k, r in enumerate(base)]
-
-
-SCHEMA = "id string, kind string, name string, lat double, lng double, ttl double, at double, seq long"
-
-
-def test_live_batch(spark):
-    good, bad = live.validate_fix(spark.createDataFrame(fixes(), SCHEMA))
-    assert {r["error"] for r in bad.collect()} == {"token", "range"}
-    snap = {r["id"]: (r["age"], r["n_trail"]) for r in live.batch_equivalent(good, 70.0).collect()}
-    assert snap == {"a": (61.0, 3)}
-
-
-def test_live_stream(spark, tmp_path):
-    pd.DataFrame(fixes(), columns=["id", "kind", "name", "lat", "lng", "ttl", "at", "seq"]).to_parquet(tmp_path / "f.parquet")
-    good, _ = live.validate_fix(spark.readStream.schema(SCHEMA).parquet(str(tmp_path)))
-    q = live.live_positions(good).writeStream.format("memory").queryName("live_out").outputMode("update").start()
-    # Timeouts keep such a query running batches, so it is stopped when the data is through.
-    until = clock.time() + 120
-    while clock.time() < until and spark.sql("select * from live_out").count() < 3:
-        clock.sleep(1)
-    q.stop()
-    got = {r["id"]: (r["event"], r["n_trail"]) for r in spark.sql("select * from live_out").collect()}
-    assert got == {"a": ("live", 3), "b": ("live", 1), "b-": ("stopped", 0)}
-
-
 FACT = "dump string, s string, p string, o string, o_kind string, o_dtype string, o_lang string, s_parent string"
 
 

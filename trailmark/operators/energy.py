@@ -3,21 +3,13 @@ frontier is cut off from its lineage by a checkpoint."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import Cost, leg_energy
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder of the cluster; in tests to one of our own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+from ..scratch import settled
 
 
 def directed_costs(edges: DataFrame, cost: Cost = Cost()) -> DataFrame:
@@ -43,7 +35,7 @@ def relax(half: DataFrame, sources: DataFrame, *, e_max: float | None = None, va
     for n in range(1, max_rounds + 1):
         front = best.filter(F.col("round") == n - 1).select("origin", F.col("node").alias("src"), F.col("energy").alias("so_far"))
         offers = front.join(half, "src").select("origin", F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("energy"), F.col("src").alias("parent"), "edge")
-        if e_max:
+        if e_max is not None:
             offers = offers.filter(F.col("energy") <= e_max)
         offers = offers.groupBy("origin", "node").agg(F.min(F.struct("energy", "parent", "edge")).alias("new"))
         both = best.join(offers, ["origin", "node"], "full")
@@ -72,7 +64,7 @@ def reach_round(half: DataFrame, sources: DataFrame, *, e_max: float | None = No
     out = reach(half, sources, e_max=e_max, max_rounds=max_rounds).select("origin", "node", F.col("energy").alias("there"))
     back = reach(half, sources, mode="to", e_max=e_max, max_rounds=max_rounds).select("origin", "node", F.col("energy").alias("back"))
     both = out.join(back, ["origin", "node"]).withColumn("energy", F.col("there") + F.col("back"))
-    return (both if per_leg or not e_max else both.filter(F.col("energy") <= e_max)).select("origin", "node", "energy")
+    return (both if per_leg or e_max is None else both.filter(F.col("energy") <= e_max)).select("origin", "node", "energy")
 
 
 def _depths(tree: DataFrame, max_rounds: int) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reports as h
+from ..scratch import shared_dir
 from ..streaming import live
 from . import views as v
 from .registry import query
@@ -183,8 +186,64 @@ def l8(spark, d):
     return live.snapshot_view(live.head_positions(fix_events(spark, d)), 1.8e9).select("id", "lat", "age")
 
 
-@query("l9_batch_equivalent")
+def live_events(events):
+    """Events as those of one token per user, a two-thousandth of the time apart; some purchases stop it, errors have
+    bad places."""
+    k = F.col("event_id")
+    return events.select(
+        F.lower(F.hex("user_id")).alias("id"),
+        F.when((F.col("event_type") == "purchase") & (k % 5 == 0), "stop").otherwise("fix").alias("kind"),
+        F.concat(F.lit(" user "), F.col("user_id").cast("string")).alias("name"),
+        (F.lit(-23.7) + (k * 7919) % 11 / 1e5).alias("lat"),
+        F.when(F.col("event_type") == "error", 200.0).otherwise(F.lit(-46.8) + (k * 104729) % 11 / 1e5).alias("lng"),
+        (F.lit(60.5) + k % 5 * 60).alias("ttl"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 2e9).alias("at"),
+        (F.floor("value") / 8).alias("accuracy"),
+        F.when(k % 4 != 0, (k % 360).cast("double")).alias("heading"),
+        k.alias("seq"),
+    )
+
+
+def trail_rows(snap):
+    """A row per point of a snapshot's trails."""
+    x = snap.select("id", "name", "age", "accuracy", "heading", F.posexplode_outer("trail").alias("nth", "p"))
+    return x.select("id", "name", "age", "accuracy", "heading", "nth", F.col("p.lat").alias("p_lat"), F.col("p.lng").alias("p_lng"), F.col("p.accuracy").alias("p_accuracy"), F.col("p.age").alias("p_age"))
+
+
+LIVE = f"""WITH RECURSIVE e AS (SELECT lower(to_hex(user_id)) AS id, 'user ' || user_id AS name, event_type = 'purchase' AND event_id % 5 = 0 AS stop, -23.7 + (event_id * 7919) % 11 / 1e5 AS lat, -46.8 + (event_id * 104729) % 11 / 1e5 AS lng,
+  60.0 + event_id % 5 * 60 AS ttl, epoch_us(ts) / 2e9 AS sec, floor(value) / 8 AS accuracy, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 360 AS DOUBLE) END AS heading, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type <> 'error'),
+w AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS k, NULL::VARCHAR AS name, FALSE AS live, FALSE AS keep, 0.0::DOUBLE AS lat, 0.0::DOUBLE AS lng, 0.0::DOUBLE AS accuracy, 0.0::DOUBLE AS heading, 0.0::DOUBLE AS ttl, 0.0::DOUBLE AS sec, 0.0::DOUBLE AS klat, 0.0::DOUBLE AS klng, 0.0::DOUBLE AS kat, -1e300::DOUBLE AS gone, 0 AS run FROM e
+  UNION ALL SELECT id, k, name, NOT stop, keep, lat, lng, accuracy, heading, ttl, sec, CASE WHEN keep THEN lat ELSE klat END, CASE WHEN keep THEN lng ELSE klng END, CASE WHEN keep THEN sec ELSE kat END, gone, run FROM (
+    SELECT *, NOT stop AND (NOT there OR kat <= gone OR sec - kat >= 8 OR {v.metres_sql('klat', 'klng', 'lat', 'lng')} >= 12) AS keep FROM (
+      SELECT e.*, w.klat, w.klng, w.kat, there, CASE WHEN there THEN greatest(w.gone, e.sec - w.ttl) ELSE -1e300 END AS gone, w.run + CASE WHEN there THEN 0 ELSE 1 END AS run
+      FROM (SELECT *, id AS wid FROM w) w JOIN e ON e.id = w.wid AND e.k = w.k + 1, LATERAL (SELECT w.live AND e.sec - w.sec < w.ttl AS there)))),
+now AS (SELECT max(sec) AS t FROM e), h AS (SELECT w.*, t FROM w, now QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1),
+p AS (SELECT w.id, w.k, w.lat, w.lng, w.accuracy, w.sec, h.gone, h.ttl, h.t FROM w JOIN h ON h.id = w.id AND h.run = w.run WHERE w.keep QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY w.k DESC) <= 500),
+q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS nth FROM p WHERE sec > greatest(gone, t - ttl))
+SELECT h.id, h.name, round_even(h.t - h.sec, 1) AS age, h.accuracy, h.heading, CAST(nth AS INT) AS nth, round_even(q.lat, 5) AS p_lat, round_even(q.lng, 5) AS p_lng, round_even(q.accuracy, 1) AS p_accuracy, CAST(round_even(q.t - q.sec, 0) AS BIGINT) AS p_age
+FROM h LEFT JOIN q ON q.id = h.id WHERE h.live AND h.t - h.sec < h.ttl"""
+
+
+def _good_events(events):
+    return live.validate_fix(live_events(events))[0]
+
+
+@query("l9_batch_equivalent", LIVE)
 def l9(spark, d):
-    good = live.validate_fix(fix_events(spark, d))[0]
-    now = good.agg(F.max("at")).first()[0]
-    return live.batch_equivalent(good, now)
+    good = _good_events(v.table(spark, d, "events"))
+    return trail_rows(live.batch_equivalent(good, good.agg(F.max("at")).first()[0]))
+
+
+@query("l8_stream_snapshot", LIVE)
+def l8_stream(spark, d):
+    """The events as two stretches of a stream, which stops in between, through the watermark, the peers' cap and the
+    tokens' state; then the snapshot of its state."""
+    events = v.table(spark, d, "events")
+    now = _good_events(events).agg(F.max("at")).first()[0]
+    folder = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    half = F.lit(first + (last - first) / 2)
+    for stretch in (F.col("ts") <= half, F.col("ts") > half):
+        events.filter(stretch).write.mode("append").parquet(f"{folder}/events")
+        state = live.run_once(_good_events(spark.readStream.schema(events.schema).parquet(f"{folder}/events")), folder)
+    return trail_rows(live.snapshot(*state, now))
