@@ -1,6 +1,8 @@
 """Operators on small rows of their own, where SQL has no say."""
 
+import datetime as dt
 import heapq
+import random
 
 import pandas as pd
 import pytest
@@ -96,6 +98,41 @@ def test_folders(spark):
     assert {r["name"]: r["tour"] for r in matching.match_folders(f, t).collect()} == {"a": "t2", "b": "t1", "c": None, "d": None}
 
 
+def greedy_folders(folders, tours):
+    """The rule one folder after the other."""
+    free, out = sorted(tours), {}
+    for name, day, number in sorted(folders, key=lambda f: (f[0], f[1], -1 if f[2] is None else f[2])):
+        found = [t for d in (0, -1, 1) for t in free if t[1] == day + dt.timedelta(d)]
+        found = [t for t in found if number is not None and t[2] == number] or found
+        if found:
+            free.remove(found[0])
+        out[name] = found[0][0] if found else None
+    return out
+
+
+@pytest.mark.parametrize("seed,block,days", [(1, 6, 12), (3, 9, 4), (4, 1000, 40)])
+def test_folders_in_rounds(spark, seed, block, days):
+    """Dense calendars, crowded days, names that don't follow dates, tours without a number."""
+    rnd = random.Random(seed)
+    day = lambda: dt.date(2025, 1, 1) + dt.timedelta(min(rnd.randrange(days), rnd.randrange(days)))
+    f = [(f"{rnd.randrange(10**6):06d}-{k}", day(), rnd.choice([None, 1, 2, 3])) for k in range(60)]
+    t = [(f"t{k:03d}", day(), rnd.choice([None, 1, 2, 3])) for k in range(50)]
+    got = matching.match_folders(spark.createDataFrame(f, "name string, date date, number int"), spark.createDataFrame(t, "tour string, date date, seq int"), block)
+    assert {r["name"]: r["tour"] for r in got.collect()} == greedy_folders(f, t)
+
+
+def test_folders_of_a_given_calendar(spark):
+    from trailmark import plans
+
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("date")).collect()
+    f = [(f"{r['date']} {r['o_orderkey']}", r["date"], r["o_custkey"] % 9) for r in o if r["o_orderstatus"] == "F"]
+    t = [(f"t{r['o_orderkey']}", r["date"], r["o_custkey"] % 9) for r in o if r["o_orderstatus"] == "O"]
+    got = {r["name"]: r["tour"] for r in plans.QUERIES["e2_match_folders"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == greedy_folders(f, t) and sum(x is not None for x in got.values()) > 100
+    none = spark.createDataFrame([], "tour string, date date, seq int")
+    assert all(r["tour"] is None for r in matching.match_folders(spark.createDataFrame(f[:5], "name string, date date, number int"), none).collect())
+
+
 def test_hamming_is_exact(spark):
     base = 0x0123456789ABCDEF
     rows = [(k, "x", f"{base ^ bits:016x}") for k, bits in enumerate([0, 0b11111, 0b111111, 1 << 63, (1 << 10 | 1 << 20 | 1 << 30 | 1 << 40 | 1 << 50)])]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
 from itertools import combinations
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_distance_le1, external_route_id, hamming_hex, norm_key, own_route_slug, parse_folder_name
+from ..scratch import settled
 
 DAY_S = 86_400
 
@@ -25,35 +28,85 @@ def asof_tour(media: DataFrame, tours: DataFrame, before_s: int = 2 * 3600, afte
     return hit.groupBy("m").agg(F.min(F.struct(F.abs(gap).alias("d"), "tt", "tour"))["tour"].alias("tour"))
 
 
-def match_folders(folders: DataFrame, tours: DataFrame) -> DataFrame:
+def match_folders(folders: DataFrame, tours: DataFrame, block: int = 10_000) -> DataFrame:
     """folders (name, date, number) and tours (tour, date, seq) to (name, tour), tour null for orphans.
 
     The rule is sequential: in the order of names, a folder takes the first free tour of its day, the day
-    before or the day after, preferring one of its number. Only dates closer than two days influence each
-    other, so each run of such dates is one group and the rest is parallel.
+    before or the day after, preferring one of its number. That is one fixed list of preferences a folder, and
+    all tours prefer the smaller name; so offers in any order end the same way, where a tour keeps the smallest
+    name that made one and the others go on in their lists.
+
+    Tours lie in blocks of less than 2 * `block`: successive days, or parts of a day that is larger. In rounds each
+    block takes up to `block` of the folders that come to it, with those that hold its tours, and lets them make
+    offers until all that are left have to go on to other blocks; the rest of a crowd waits. So no task gets more
+    than some blocks' rows, and a round moves each chain of displacements to the end of its block. Folders of one
+    name come in the order of their dates and numbers.
     """
-    days = folders.select(F.col("date").alias("day")).union(tours.select("date")).filter("day is not null").distinct()
-    by = Window.partitionBy(F.lit(1)).orderBy("day")
-    days = days.withColumn("gap", F.when(F.datediff("day", F.lag("day").over(by)) > 2, 1).otherwise(0))
-    run = F.sum("gap").over(by)
-    runs = days.withColumn("run", run)  # one row per calendar date
-    f = folders.join(runs, F.col("date") == F.col("day")).select("run", "date", "name", "number")
-    t = tours.join(runs, F.col("date") == F.col("day")).select(F.col("run").alias("run_"), F.col("date").alias("date_"), "tour", "seq")
-
-    def greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = right.sort_values("tour").to_dict("records")
-        out = []
-        for x in left.sort_values("name").to_dict("records"):
-            found = [c for d in (0, -1, 1) for c in free if (pd.Timestamp(c["date_"]) - pd.Timestamp(x["date"])).days == d]
-            if len(found) > 1 and x["number"] is not None and not pd.isna(x["number"]):
-                found = [c for c in found if c["seq"] == x["number"]] or found
-            if found:
-                free.remove(found[0])
-            out.append((x["name"], found[0]["tour"] if found else None))
-        return pd.DataFrame(out, columns=["name", "tour"])
-
-    matched = f.groupBy("run").cogroup(t.groupBy("run_")).applyInPandas(greedy, "name string, tour string")
-    return matched.unionByName(folders.filter("date is null").select("name", F.lit(None).cast("string").alias("tour")))
+    per_day = tours.filter("date is not null").groupBy("date").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(F.lit(1)).orderBy("date")  # one row per calendar date
+    large = F.col("n") > block
+    before = F.sum(F.when(large, 0).otherwise(F.col("n"))).over(by) - F.col("n")
+    days = settled(per_day.select("date", F.when(large, -F.row_number().over(by)).otherwise(F.floor(before / block)).cast("long").alias("g"), F.when(large, F.ceil(F.col("n") / block)).otherwise(1).cast("long").alias("parts")))
+    part = F.when(F.col("parts") == 1, 0).otherwise(F.floor((F.row_number().over(Window.partitionBy("date").orderBy("tour")) - 1) / block)).cast("long")
+    placed = settled(tours.join(days, "date").select("g", part.alias("c"), F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), "tour", F.col("seq").cast("long").alias("seq")))
+    state = folders.filter("date is not null").select("name", F.col("number").cast("long").alias("number"), "date")
+    for k in (0, -1, 1):
+        there = days.select(F.date_sub("date", k).alias("date"), F.struct(F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), "g", "parts").alias(f"at{k}"))
+        state = state.join(there, "date", "left")
+    lists = [F.when(F.col("number").isNotNull() | F.lit(not exact), F.struct(F.lit(exact).alias("exact"), *[F.col(f"at{k}.{x}").alias(x) for x in ("day", "g", "parts")])) for exact in (True, False) for k in (0, -1, 1)]
+    wanted = F.filter(F.array(*lists), lambda x: x["g"].isNotNull())
+    kind = "name string, number long, day int, wanted array<struct<exact: boolean, day: int, g: long, parts: long>>, i int, c long, tour string"
+    state = settled(state.select("name", "number", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"), wanted.alias("wanted"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("c"), F.lit(None).cast("string").alias("tour")))
+
+    def offers(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        of_day, of_number = defaultdict(list), defaultdict(list)
+        for t in right.sort_values("tour").itertuples():
+            of_day[t.day].append(t.tour)
+            if not pd.isna(t.seq):
+                of_number[t.day, t.seq].append(t.tour)
+        f = left.sort_values(["name", "day", "number"]).to_dict("records")  # a folder is its place in here
+        holder = {x["tour"]: k for k, x in enumerate(f) if x["tour"] is not None}
+        waiting = [k for k, x in enumerate(f) if x["tour"] is None]
+        passed = defaultdict(int)  # tours at the head of a list that smaller names hold
+        while waiting:
+            k = heapq.heappop(waiting)
+            x = f[k]
+            while x["i"] < len(x["wanted"]):
+                want = x["wanted"][x["i"]]
+                if (want["g"], x["c"]) != key:
+                    break
+                at = (want["day"], x["number"]) if want["exact"] else want["day"]
+                pool = of_number[at] if want["exact"] else of_day[at]
+                while passed[at] < len(pool) and holder.get(pool[passed[at]], k) < k:
+                    passed[at] += 1
+                if passed[at] < len(pool):
+                    tour = pool[passed[at]]
+                    if tour in holder:
+                        f[holder[tour]]["tour"] = None
+                        heapq.heappush(waiting, holder[tour])
+                    holder[tour], x["tour"] = k, tour
+                    break
+                x["c"] += 1
+                if x["c"] == want["parts"]:
+                    x["i"], x["c"] = x["i"] + 1, 0
+        return pd.DataFrame(f, columns=["name", "number", "day", "wanted", "i", "c", "tour"])
+
+    while True:
+        own = state.withColumn("g", F.get("wanted", F.col("i"))["g"])
+        free = F.col("tour").isNull() & F.col("g").isNotNull()
+        if not own.filter(free).limit(1).count():
+            break
+        turn = Window.partitionBy("g", "c").orderBy("name", "day", "number")
+        coming = settled(own.filter(free).withColumn("turn", F.row_number().over(turn)))
+        now = coming.filter(F.col("turn") <= block).drop("turn")
+        here = now.select("g", "c").distinct()
+        holding = own.filter("tour is not null")
+        left = now.unionByName(holding.join(here, ["g", "c"], "left_semi"))
+        right = placed.join(here, ["g", "c"], "left_semi")
+        done = left.groupBy("g", "c").cogroup(right.groupBy("g", "c")).applyInPandas(offers, kind)
+        idle = coming.filter(F.col("turn") > block).drop("turn").unionByName(holding.join(here, ["g", "c"], "left_anti")).unionByName(own.filter(F.col("tour").isNull() & F.col("g").isNull()))
+        state = settled(done.unionByName(idle.select(done.columns)))
+    return state.select("name", "tour").unionByName(folders.filter("date is null").select("name", F.lit(None).cast("string").alias("tour")))
 
 
 def match_census(census: DataFrame, tours: DataFrame) -> DataFrame:
