@@ -2,6 +2,7 @@
 
 import datetime as dt
 import heapq
+import math
 import random
 
 import pandas as pd
@@ -290,3 +291,42 @@ def test_hamming_dedup_is_exact(spark):
         n, kind, h = rows[r["row"]]
         first = [i for i, k, x in known if k == kind and close(x, h)] or [str(m) for m, k, x in rows[:n] if k == kind and close(x, h)]
         assert r["dup_of"] == (first[0] if first else None)
+
+
+@pytest.mark.parametrize("n_dirs", [4, 8, 16, 32, 64, 128])
+def test_moves(n_dirs):
+    """n_dirs moves without a common factor that go all around, and are the shorter the fewer they are."""
+    moves = {(r, c) for r, c, _, _ in raster.move_list(n_dirs)}
+    assert len(moves) == n_dirs == len({math.atan2(r, c) for r, c in moves}) and moves == {(c, -r) for r, c in moves}
+    assert moves == {(r, c) for r, c, _, _ in raster.move_list(128)} & moves or n_dirs == 4
+
+
+def test_more_than_the_old_limits(spark):
+    keys = spark.createDataFrame([(f"k{n}",) for n in range(31)], "key string")
+    known = spark.createDataFrame([("k0", "7")], "key string, slug string")
+    got = {r["key"]: r["slug"] for r in mutate.mint_slugs(keys, known, length=1).collect()}
+    assert len(got) == 31 == len(set(got.values())) and got["k0"] == "7" and all(len(s) == 1 for s in got.values())
+    with pytest.raises(ValueError):
+        mutate.mint_slugs(spark.range(40).selectExpr("cast(id as string) as key"), known, length=1)
+    docs = spark.createDataFrame([("a", "p/" + "a" * 10_000 + "!!"), ("b", "p/" + "a" * 10_001)], "doc string, s string").select("doc", "s", F.lit("rdf:type").alias("p"), F.lit("C").alias("o"))
+    assert [(r["doc"], r["error"]) for r in rules.check_single_subject(docs, "C", "p/").collect()] == [("a", "slug")]
+    names = ["2025-09-10 12345678901 x", "2025-09-10 PH 1234567890123456789 x", "2025-09-10 " + "y" * 1_000_100]
+    found = [one(spark, text.parse_folder_name(lit(n))) for n in names]
+    assert (found[0]["number"], found[0]["title"]) == (12_345_678_901, "x")
+    assert (found[1]["series"], found[1]["number"], found[1]["title"]) == ("PH", None, "1234567890123456789 x")
+    assert found[2]["title"] == "y" * 1_000_100
+
+
+def test_saved_twice_in_a_batch(spark):
+    kind = "id string, slug string, name string, created int, updated int, distance double"
+    saved = spark.createDataFrame([("a", "old", "A", 1, 1, 1.0)], kind)
+    batch = spark.createDataFrame([("a", "x", "A1", None, 5, 2.0), ("a", "y", "A2", None, 6, 3.0), ("b", "z", "B", None, None, 4.0), ("b", "z", "B", None, None, 4.0)], kind)
+    out, conflicts = mutate.save_route_upsert(saved, batch, F.lit(9))
+    assert sorted((r["id"], r["slug"], r["name"], r["created"]) for r in out.collect()) == [("a", "y", "A2", 1), ("b", "z", "B", 9)] and conflicts.count() == 0
+
+
+def test_budget_of_zero(spark):
+    half = spark.createDataFrame([("a", "b", 0.0, 1.0, 1), ("b", "c", 1.0, 1.0, 2)], "src string, dst string, cost double, back double, edge int")
+    src = spark.createDataFrame([("o", "a")], "origin string, node string")
+    assert {r["node"] for r in energy.reach(half, src, e_max=0.0).collect()} == {"a", "b"}
+    assert {r["node"] for r in energy.reach_round(half, src, e_max=0.0, per_leg=False).collect()} == {"a"}

@@ -16,7 +16,8 @@ e1_asof_tour e4_trip_candidates e5_best_trip e8_resolve_handles e9_near_duplicat
 f15_integrate_power h1_folder_rollup h12_series_numbers h14_feed h17_tour_summary n1_leg_energy r1_fuse_dem r2_smooth_gaussian r6_box_smooth r9_grid_edges g15_half_edges
 l1_validate_fix s1_text_keys s7_parse_folder_name s8_durations s12_dates s22_files s25_xml_and_paragraphs
 a1_read_triples a7_census_rows a9_gpx_points a10_gpx_pois a11_track_points a11b_track_places a12_trip_points a14_decode_polyline a15_saved_route_geometry a15b_saved_route_places g5_filter_relations
-g7_crossings g10_emit_edges g11_deck_flatten n6_swept_passes n9_repulsion_cost s15_sheet_and_exif s18_minute_round_local s24_archive_names d7_pattern_and_datatypes l7_peer_cap l8_snapshot_view g13_node_elevation""".split()
+g7_crossings g10_emit_edges g11_deck_flatten n6_swept_passes n9_repulsion_cost s15_sheet_and_exif s18_minute_round_local s24_archive_names d7_pattern_and_datatypes l7_peer_cap l8_snapshot_view g13_node_elevation
+l8_stream_snapshot l9_batch_equivalent sql_faceted_query sql_path_join sql_class_counts sql_distances sql_half_edges sql_max_edge_cost sql_text_keys""".split()
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,16 +84,24 @@ def is_local_host(url: Column) -> Column:
 SERIES = ("PH", "BP", "BT", "SESC", "S")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _stripped(rest: Column) -> Column:
     return F.regexp_replace(rest, r"^\s+", "")
 
 
-def _take(rest: Column, kind: str, *known: str) -> tuple[Column, Column]:
-    """The token of a kind after blanks, or an empty one, and what follows it; if known, one of these."""
-    token = F.regexp_extract(rest, rf"^\s+({kind})", 1)
-    if known:
-        token = F.when(token.isin(*known), token).otherwise("")
-    return token, F.when(token != "", F.substr(_stripped(rest), F.length(token) + 1)).otherwise(rest)
+def _taken(rest: Column, kind: str, *known: str) -> Column:
+    """token, that of a kind after blanks, or an empty one, and rest, what follows it; if known, one of these."""
+
+    def after(r: Column) -> Column:
+        token = F.regexp_extract(r, rf"^\s+({kind})", 1)
+        token = F.when(token.isin(*known), token).otherwise("") if known else token
+        return F.struct(token.alias("token"), F.when(token != "", F.substr(_stripped(r), F.length(token) + 1)).otherwise(r).alias("rest"))
+
+    return _let(rest, after)
 
 
 def _without_dash(rest: Column) -> Column:
@@ -99,13 +109,17 @@ def _without_dash(rest: Column) -> Column:
 
 
 def parse_folder_name(name: Column) -> Column:
-    """date, series, number, sn and title of an archive folder's name; all null if it has no date."""
+    """date, series, number, sn and title of an archive folder's name; all null if it has no date. What has more
+    than 18 digits is no number but part of the title."""
     date = F.substring(name, 1, 10)
-    series, rest = _take(F.substring(name, 11, 1_000_000), r"\w+", *SERIES)
-    number, rest = _take(_without_dash(rest), r"\d+")
-    sn, rest = _take(rest, r"\w+", "SN")
-    title = F.regexp_replace(_without_dash(rest), r"^\s+|\s+$", "")
-    found = F.struct(date.alias("date"), null_if_no_match(series).alias("series"), F.try_to_number(null_if_no_match(number), F.lit("999999999")).cast("int").alias("number"), (sn != "").alias("sn"), title.alias("title"))
+
+    def parts(series: Column, number: Column, sn: Column) -> Column:
+        title = F.regexp_replace(_without_dash(sn["rest"]), r"^\s+|\s+$", "")
+        return F.struct(date.alias("date"), null_if_no_match(series["token"]).alias("series"), null_if_no_match(number["token"]).cast("long").alias("number"), (sn["token"] != "").alias("sn"), title.alias("title"))
+
+    from_sn = lambda a, b: _let(_taken(b["rest"], r"\w+", "SN"), lambda c: parts(a, b, c))
+    from_number = lambda a: _let(_taken(_without_dash(a["rest"]), r"\d{1,18}(?!\d)"), lambda b: from_sn(a, b))
+    found = _let(_taken(F.substr(name, F.lit(11)), r"\w+", *SERIES), from_number)
     return F.when(F.translate(date, "0123456789", "0000000000") == "0000-00-00", found)
 
 
@@ -155,7 +169,8 @@ def media_kind(name: Column) -> Column:
 
 def is_shared_copy(name: Column) -> Column:
     """Whether a messaging app wrote the file, which strips its metadata."""
-    return name.rlike(r"(?i)\bWhatsApp\s+(?:Image|Video|Audio|Ptt)\b")
+    after = F.split(name, r"(?i)\bwhatsapp\s+")
+    return F.exists(F.slice(after, 2, F.size(after)), lambda x: F.lower(F.regexp_extract(x, r"^\w+", 0)).isin(*SHARED_KINDS))
 
 
 def is_media_folder(name: Column) -> Column:

@@ -34,7 +34,7 @@ def iso_duration_hours(text: Column) -> Column:
 
 def fmt_duration(text: Column) -> Column:
     """3h30 or 45min; null if there are neither hours nor minutes."""
-    fits = text.rlike(r"^PT(?:\d+H)?(?:\d+M)?(?:[\d.]+S)?$")
+    fits = iso_duration_s(text).isNotNull() & ~text.contains("D")
     h, m = extract(text, r"(\d+)H").cast("int"), extract(text, r"(\d+)M").cast("int")
     long = F.format_string("%dh%02d", h, F.coalesce(m, F.lit(0)))
     return F.when(fits & (h > 0), long).when(fits & (h.isNotNull() | m.isNotNull()), F.format_string("%dmin", F.coalesce(m, F.lit(0))))

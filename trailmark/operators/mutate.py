@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LOCAL_HOST
+from ..scratch import settled
 from ..sources.facts import ROLES, TYPE, parent_of
-from .energy import settled
 
 BASE32 = "0123456789abcdefghjkmnpqrstvwxyz"
 
@@ -197,22 +198,28 @@ def normalise_datatype(triples: DataFrame, was: str = "xsd:positiveInteger", now
     return triples.withColumn("o_dtype", F.when(F.col("o_dtype") == was, now).otherwise(F.col("o_dtype"))).dropDuplicates()
 
 
-def mint_slugs(keys: DataFrame, known: DataFrame) -> DataFrame:
-    """known (key, slug) and a slug of eight base-32 characters for each new key, by hash: the same in
-    every run, unique against the known ones and each other."""
-    new = keys.select("key").distinct().join(known, "key", "left_anti")
+def mint_slugs(keys: DataFrame, known: DataFrame, length: int = 8) -> DataFrame:
+    """known (key, slug) and a slug of `length` base-32 characters for each new key, by hash: the same in
+    every run, unique against the known ones and each other. In a round each key left has five offers and takes
+    the first that nobody else claims."""
+    left = keys.select("key").filter("key is not null").distinct().join(known, "key", "left_anti")
+    done = known.select("key", "slug")
     digits = F.array(*map(F.lit, BASE32))
 
     def slug(tries: Column) -> Column:
         h = F.xxhash64("key", tries)
-        return F.concat(*[F.element_at(digits, F.shiftrightunsigned(h, 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1) for k in range(8)])
+        return F.concat(*[F.element_at(digits, F.shiftrightunsigned(h, 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1) for k in range(length)])
 
-    # A clash among 2**40 names is rare: five hashes each, the first that nobody else claims.
-    offers = new.select("key", F.posexplode(F.array(*[slug(F.lit(k)) for k in range(5)])).alias("n", "slug"))
-    free = offers.join(known.select("slug"), "slug", "left_anti")
-    first = free.withColumn("__c", F.row_number().over(Window.partitionBy("slug").orderBy("n", "key"))).filter("__c = 1")
-    best = first.groupBy("key").agg(F.min_by("slug", "n").alias("slug"))
-    return known.select("key", "slug").unionByName(best)
+    for n in count(0, 5):
+        offers = left.select("key", F.posexplode(F.array(*[slug(F.lit(n + k)) for k in range(5)])).alias("n", "slug"))
+        free = offers.join(done.select("slug"), "slug", "left_anti")
+        first = free.withColumn("__c", F.row_number().over(Window.partitionBy("slug").orderBy("n", "key"))).filter("__c = 1")
+        done = settled(done.unionByName(first.groupBy("key").agg(F.min_by("slug", "n").alias("slug"))))
+        left = left.join(done, "key", "left_anti")
+        if not left.limit(1).count():
+            return done
+        if left.count() + done.count() > 32**length:
+            raise ValueError("there are more keys than slugs of this length")
 
 
 def conservation_check(before: DataFrame, after: DataFrame, old_prefix: str) -> DataFrame:
@@ -256,7 +263,10 @@ def routes_depending_on(triples: DataFrame, slugs: DataFrame, p: str = "routeUrl
 
 def save_route_upsert(saved: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """saved and batch (id, slug, name, created, updated, distance): by id; and the batch rows whose slug
-    another id has, saved or smaller and in the same batch."""
+    another id has, saved or smaller and in the same batch. Of an id's rows in a batch the last updated one counts,
+    of those the one with the largest slug, name and distance."""
+    latest = Window.partitionBy("id").orderBy(*[F.desc_nulls_last(c) for c in ("updated", "slug", "name", "distance")])
+    batch = batch.withColumn("__n", F.row_number().over(latest)).filter("__n = 1").drop("__n")
     other = saved.select(F.col("id").alias("__id"), "slug").union(batch.groupBy("slug").agg(F.min("id").alias("__id")).select("__id", "slug"))
     conflicts = batch.join(other, "slug").filter("id != __id").drop("__id").distinct()
     ok = batch.join(conflicts.select("id"), "id", "left_anti")
@@ -284,7 +294,3 @@ def attach_provenance(triples: DataFrame, accepted: DataFrame, now: Column, dump
 
 def delete_saved_routes(saved: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return saved.join(ids, "id", "left_anti"), ids.join(saved, "id", "left_anti")
-
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "s string")

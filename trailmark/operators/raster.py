@@ -86,15 +86,21 @@ def box_smooth(cells: DataFrame, times: int = 1) -> DataFrame:
     return cells
 
 
+def _quotients(a: int, b: int) -> int:
+    """Sum of the partial quotients of a / b."""
+    return 0 if b == 0 else a // b + _quotients(b, a % b)
+
+
 def move_list(n_dirs: int = 8, dx: float = 1.0, dy: float = 1.0) -> list[tuple[int, int, float, int]]:
-    """(dr, dc, len_m, steps): neighbour offsets; beyond 8, those between two neighbours are their sum."""
+    """(dr, dc, len_m, steps): 4 or 8 neighbours; for 8 * 2^k directions all moves without a common factor whose
+    slopes have partial quotients of a sum up to k + 1."""
+    near = range(-n_dirs // 8 - 1, n_dirs // 8 + 2)
+    vectors = [(r, c) for r in near for c in near if math.gcd(r, c) == 1]
     if n_dirs == 4:
-        vectors = {(-1, 0), (0, -1), (0, 1), (1, 0)}
+        vectors = [v for v in vectors if 0 in v]
     else:
-        octant = [(1, 0), (1, 1)]
-        for _ in range({8: 0, 16: 1, 32: 2, 64: 3, 128: 4}[n_dirs]):
-            octant = [v for a, b in zip(octant, octant[1:]) for v in (a, (a[0] + b[0], a[1] + b[1]))] + octant[-1:]
-        vectors = {(sr * r, sc * c) for a, b in octant for r, c in ((a, b), (b, a)) for sr in (1, -1) for sc in (1, -1)}
+        most = n_dirs.bit_length() - 3
+        vectors = [v for v in vectors if _quotients(max(map(abs, v)), min(map(abs, v))) <= most]
     return [(r, c, math.hypot(r * dy, c * dx), max(abs(r), abs(c))) for r, c in sorted(vectors)]
 
 

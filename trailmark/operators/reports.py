@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contributor_of, is_local_host, is_shared_copy, media_kind, paragraphs
+from ..functions.text import contributor_of, is_local_host, is_shared_copy, media_kind, paragraphs, series_label
 from ..functions.time import instant, tour_week
 
 #: Upper limits in kJ and labels of intensity.
@@ -88,10 +88,6 @@ def intensity(kj: Column) -> Column:
     return out.otherwise(INTENSE)
 
 
-def series_label(code: Column) -> Column:
-    return F.when(code == "S", "PH-S").otherwise(code)
-
-
 def series_numbers(editions: DataFrame, how: str = "card") -> DataFrame:
     """editions (tour, code, seq, at: order of appearance) to (tour, label). card: by SERIES_ORDER, one per series;
     title: the highest number first; gallery and timeline: by code."""
