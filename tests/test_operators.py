@@ -252,6 +252,64 @@ def test_chain_of_many_decks(spark):
     assert out == {f"d{k:02}": pytest.approx((k, k + 1)) for k in range(n)} | {x: (7.0, 8.0) for x in ("f0", "f1", "f2", "r0", "r1")}
 
 
+def test_a_ramp_of_thousands_of_decks(spark, monkeypatch):
+    """In rounds of the logarithm; ways of either direction, layers apart, rings that never end beside them."""
+    n, rnd = 3_000, random.Random(5)
+    length = [rnd.randrange(1, 9) for _ in range(n)]
+    decks = []
+    for k in range(n):
+        a, b, ha, hb = f"n{k}", f"n{k + 1}", 3.0 if k == 0 else -1.0, 50.0 if k == n - 1 else -2.0
+        decks.append((f"d{k}", 1, a, b, float(length[k]), ha, hb) if rnd.random() < 0.5 else (f"d{k}", 1, b, a, float(length[k]), hb, ha))
+    decks += [(f"r{k}", 1, f"q{k}", f"q{(k + 1) % 5}", 1.0, 7.0, 8.0) for k in range(5)] + [("x", 2, "n0", "n1", 1.0, 7.0, 8.0), ("loop", 2, "z", "z", 1.0, 7.0, 8.0), ("y", None, "n0", "n1", 1.0, 7.0, 8.0)]
+    rounds = []
+    real = roads.settled
+    monkeypatch.setattr(roads, "settled", lambda df: rounds.append(1) or real(df))
+    got = {r["line"]: (r["h0"], r["h1"]) for r in roads.deck_chains(spark.createDataFrame(decks, "line string, layer int, a string, b string, len double, ha double, hb double")).collect()}
+    at, want = [3.0 + 47.0 * sum(length[:k]) / sum(length) for k in range(n + 1)], {}
+    for line, layer, a, *_ in decks:
+        k = int(line[1:]) if line[0] == "d" else None
+        want[line] = (7.0, 8.0) if k is None else pytest.approx((at[k], at[k + 1]) if a == f"n{k}" else (at[k + 1], at[k]))
+    assert got == want and len(rounds) <= 20
+
+
+def test_passes_in_deep_and_wide_trees(spark, monkeypatch):
+    rnd = random.Random(9)
+    up = {"a": {k: k - 1 if k else None for k in range(3_000)}, "b": {k: rnd.randrange(k) if k else None for k in range(400)}}
+    want, chosen = {}, {(o, k) for o in up for k in up[o] if rnd.random() < 0.5}
+    for o, parents in up.items():
+        below, own = dict.fromkeys(parents, 1), {k: int((o, k) in chosen) for k in parents}
+        for k in sorted(parents, reverse=True):
+            if parents[k] is not None:
+                below[parents[k]] += below[k]
+                own[parents[k]] += own[k]
+        want |= {(o, k): (below[k], own[k]) for k in parents}
+    tree = spark.createDataFrame([(o, k, p, k) for o in up for k, p in up[o].items()], "origin string, node int, parent int, edge int")
+    rounds = []
+    real = energy.settled
+    monkeypatch.setattr(energy, "settled", lambda df: rounds.append(1) or real(df))
+    every = {(r["origin"], r["node"]): r["passes"] for r in energy.passes(tree).collect()}
+    assert len(rounds) <= 14
+    some = {(r["origin"], r["node"]): r["passes"] for r in energy.passes(tree, spark.createDataFrame(sorted(chosen), "origin string, node int")).collect()}
+    assert {k: (every[k], some[k]) for k in every} == want
+
+
+def test_upper_medians(spark):
+    rnd = random.Random(4)
+    lists = {"a": [float(rnd.randrange(7)) for _ in range(501)], "b": [rnd.random() for _ in range(100)], "c": [1.0], "d": [2.0, 3.0]}
+    rows = [(w, x) for w, xs in lists.items() for x in [*xs, None]] + [("none", None)]
+    got = {r["what"]: r["median"] for r in trajectory.upper_medians(spark.createDataFrame(rows, "what string, x double")).collect()}
+    assert got == {w: sorted(xs)[len(xs) // 2] for w, xs in lists.items()}
+
+
+def test_matrix_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(energy, "REFERENCES_A_BLOCK", 3)
+    refs = spark.createDataFrame([(f"o{k}", k) for k in range(10)], "origin string, node int")
+    tree = spark.createDataFrame([(f"o{k}", j, float(10 * k + j)) for k in range(10) for j in range(20) if (k + j) % 3], "origin string, node int, energy double")
+    got = [tuple(r) for r in energy.accessibility_matrix(tree, refs).collect()]
+    assert sorted(got) == sorted((f"o{k}", f"o{j}", float(10 * k + j) if (k + j) % 3 else math.inf) for k in range(10) for j in range(10) if k != j)
+    assert energy.accessibility_matrix(tree, refs.limit(0)).collect() == []
+
+
 def test_nearest_node_far_away(spark):
     points = spark.createDataFrame([("near", 0.0, 0.0), ("far", 5e6, 0.0), ("none", None, 0.0)], "p string, r double, c double")
     nodes = spark.createDataFrame([("n", 0.0, 1.0, True), ("x", 5e6, 0.0, False)], "id string, r double, c double, valid boolean")

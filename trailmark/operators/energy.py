@@ -67,33 +67,26 @@ def reach_round(half: DataFrame, sources: DataFrame, *, e_max: float | None = No
     return (both if per_leg or e_max is None else both.filter(F.col("energy") <= e_max)).select("origin", "node", "energy")
 
 
-def _depths(tree: DataFrame, max_rounds: int) -> DataFrame:
-    """tree with depth, by doubling the jump towards the root."""
-    x = settled(tree.select("origin", "node", "parent", "edge", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
-    for _ in range(64):
-        if not x.filter("up is not null").limit(1).count():
-            break
-        y = x.select("origin", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        x = settled(x.join(y, ["origin", "up"], "left").select("origin", "node", "parent", "edge", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
-    return x.drop("up")
-
-
-def passes(tree: DataFrame, keep: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def passes(tree: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """(origin, node, parent, edge, passes): how many nodes' best paths lead through each node, itself included.
-    Only destinations in keep (origin, node) count, if given. From the deepest nodes up, a round per depth."""
-    x = _depths(tree, max_rounds)
+    Only destinations in keep (origin, node) count, if given.
+
+    After k rounds a node knows the sum over those up to 2^k - 1 steps below it, and its ancestor 2^k steps above.
+    In a round it gives its sum to that ancestor, and jumps on; so rounds are the logarithm of the tree's depth.
+    """
+    x = tree.select("origin", "node", "parent", "edge", F.col("parent").alias("up"))
     if keep is not None:
-        x = x.join(keep.select("origin", "node", F.lit(1).alias("own")), ["origin", "node"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        x = x.join(keep.select("origin", "node", F.lit(1).alias("own")).distinct(), ["origin", "node"], "left")
+        x = x.withColumn("passes", F.coalesce("own", F.lit(0)).cast("long")).drop("own")
     else:
-        x = x.withColumn("own", F.lit(1))
-    x = settled(x.withColumn("passes", F.col("own").cast("long")).drop("own"))
-    deepest = x.agg(F.max("depth")).first()[0] or 0
-    for d in range(deepest, 0, -1):
-        up = x.filter(F.col("depth") == d).groupBy("origin", F.col("parent").alias("node")).agg(F.sum("passes").alias("more"))
-        x = x.join(up, ["origin", "node"], "left").withColumn("passes", F.col("passes") + F.coalesce("more", F.lit(0))).drop("more")
-        if d % 4 == 0:
-            x = settled(x)
-    return x.drop("depth")
+        x = x.withColumn("passes", F.lit(1).cast("long"))
+    x = settled(x)
+    while x.filter("up is not null").limit(1).count():
+        more = x.filter("up is not null").groupBy("origin", F.col("up").alias("node")).agg(F.sum("passes").alias("more"))
+        jump = x.select("origin", F.col("node").alias("up"), F.col("up").alias("up2"))
+        both = x.join(more, ["origin", "node"], "left").join(jump, ["origin", "up"], "left")
+        x = settled(both.select("origin", "node", "parent", "edge", F.col("up2").alias("up"), (F.col("passes") + F.coalesce("more", F.lit(0))).alias("passes")))
+    return x.drop("up")
 
 
 def edge_passes(flow: DataFrame) -> DataFrame:
@@ -205,12 +198,25 @@ def mean_energy(parts: DataFrame) -> DataFrame:
     return parts.select("node", (F.col("energy_sum") / F.col("reached")).alias("energy"), "reached")
 
 
+REFERENCES_A_BLOCK = 512
+
+
 def accessibility_matrix(tree: DataFrame, refs: DataFrame) -> DataFrame:
-    """(origin, target, energy) of every ordered pair of the references; infinite where none leads."""
-    r = refs.select("origin", "node")
-    # The pairs are the output itself; references are a stated, small set.
-    pairs = r.select("origin", F.lit(1).alias("__k")).join(r.select(F.col("origin").alias("target"), F.col("node"), F.lit(1).alias("__k")), "__k").filter("origin != target").drop("__k")
-    return pairs.join(tree.select("origin", "node", "energy"), ["origin", "node"], "left").select("origin", "target", F.coalesce("energy", F.lit(float("inf"))).alias("energy"))
+    """(origin, target, energy) of every ordered pair of the references (origin, node); infinite where none leads.
+
+    What the tree reaches is a join. The other pairs, which are part of the result, come from blocks: targets lie in
+    blocks by hash, every origin goes to each block once, and a block's pairs lose those that were reached.
+    """
+    r = settled(refs.select("origin", "node").distinct())
+    target = r.select(F.col("origin").alias("target"), "node")
+    reached = settled(tree.select("origin", "node", "energy").join(target, "node").join(r.select("origin"), "origin", "left_semi").filter("origin != target").select("origin", "target", "energy"))
+    blocks = -(-r.count() // REFERENCES_A_BLOCK)
+    if not blocks:
+        return reached
+    each = r.select("origin", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    in_block = target.select("target", F.pmod(F.xxhash64("target"), F.lit(blocks)).cast("int").alias("block"))
+    missing = each.join(in_block, "block").filter("origin != target").join(reached, ["origin", "target"], "left_anti")
+    return reached.unionByName(missing.select("origin", "target", F.lit(float("inf")).alias("energy")))
 
 
 def edge_energy(edges: DataFrame, node_energy: DataFrame) -> DataFrame:

@@ -122,37 +122,34 @@ def deck_flatten(vertices: DataFrame, decks: DataFrame) -> DataFrame:
 
 def deck_chains(decks: DataFrame) -> DataFrame:
     """decks (line, layer, a, b: end nodes, len, ha, hb) to (line, h0, h1): decks of one layer that share ends
-    and form a simple path are one ramp from its first end to its last; rings and forks stay as they are."""
-    ends = decks.select("line", "layer", F.explode(F.array("a", "b")).alias("node"))
-    deg = settled(ends.groupBy("layer", "node").agg(F.count("*").alias("deg")))
-    way = lambda a, b, fwd: decks.select("layer", F.col(a).alias("node"), "line", F.lit(fwd).alias("fwd"), "len", F.col(b).alias("to"), F.col("ha" if fwd else "hb").alias("hs"), F.col("hb" if fwd else "ha").alias("he"))
-    arms = settled(way("a", "b", True).union(way("b", "a", False)).join(deg.select("layer", F.col("node").alias("to"), "deg"), ["layer", "to"]))
-    # Walk from every free end, a deck a round: a fork ends the walk, and it is a simple path if it comes to
-    # another free end. From there no walk can meet a ring, so it ends without a limit.
-    came = F.lit(None).cast(dict(decks.dtypes)["line"]).alias("came")
-    front = settled(deg.filter("deg = 1").select("layer", F.col("node").alias("start"), "node", F.lit(0.0).alias("s"), came))
-    walked, rounds = None, 0
-    while True:
-        hop = front.join(arms, ["layer", "node"]).filter("not line <=> came")
-        hop = settled(hop.select("layer", "start", "line", "fwd", "s", (F.col("s") + F.col("len")).alias("s2"), "to", "deg", "hs", "he"))
-        if not hop.limit(1).count():
+    and form a simple path are one ramp from its first end to its last; rings and forks stay as they are.
+
+    Each deck is passed in two ways. A way leads to the next deck's where two decks meet and no more, and ends at a
+    free end or at a fork. Pointers along the ways are doubled, so a chain of n decks takes log2(n) rounds; ways that
+    still lead on after a round in which none came to an end go in a ring.
+    """
+    layer = F.coalesce("layer", F.lit(0)).alias("layer")
+    own = decks.select("line", layer, "a", "b", "len", "ha", "hb")
+    deg = own.select("layer", F.explode(F.array("a", "b")).alias("node")).groupBy("layer", "node").agg(F.count("*").alias("deg"))
+    way = lambda a, b, fwd: own.select("layer", F.col(a).alias("node"), "line", F.lit(fwd).alias("fwd"), "len", F.col(b).alias("to"), F.col("hb" if fwd else "ha").alias("tail"))
+    ways = settled(way("a", "b", True).union(way("b", "a", False)).join(deg.select("layer", F.col("node").alias("to"), "deg"), ["layer", "to"]))
+    on = ways.filter("deg = 2").select("layer", F.col("to").alias("node"), F.col("line").alias("came"), F.col("fwd").alias("came_fwd"))
+    after = on.join(ways.select("layer", "node", "line", "fwd"), ["layer", "node"]).filter("line != came").select(F.col("came").alias("line"), F.col("came_fwd").alias("fwd"), F.struct("line", "fwd").alias("next"))
+    x = ways.join(after, ["line", "fwd"], "left").select("line", "fwd", "len", F.col("len").alias("rest"), "tail", F.col("deg").alias("last"), "next")
+    x = settled(x.select("line", "fwd", "len", "rest", "tail", F.when(F.col("next").isNull(), F.col("last") == 1).alias("free"), "next"))
+    left = x.filter("next is not null").count()
+    while left:
+        y = x.select(F.struct("line", "fwd").alias("next"), F.col("rest").alias("rest2"), F.col("tail").alias("tail2"), F.col("free").alias("free2"), F.col("next").alias("next2"))
+        x = settled(x.join(y, "next", "left").select("line", "fwd", "len", (F.col("rest") + F.coalesce("rest2", F.lit(0))).alias("rest"), F.coalesce("tail2", "tail").alias("tail"), F.coalesce("free", "free2").alias("free"), F.col("next2").alias("next")))
+        before, left = left, x.filter("next is not null").count()
+        if left == before:
             break
-        walked, rounds = hop if walked is None else walked.unionByName(hop), rounds + 1
-        if rounds % 20 == 0:
-            walked = settled(walked)
-        front = hop.filter("deg = 2").select("layer", F.col("to").alias("node"), "start", F.col("s2").alias("s"), F.col("line").alias("came"))
-    done = None
-    if walked is not None:
-        # Of a path's two walks, that from the smaller end.
-        whole = walked.filter("deg = 1 and start < to").select("layer", "start")
-        done = settled(walked.join(whole, ["layer", "start"], "left_semi"))
-    own = decks.select("line", F.col("ha").alias("h0"), F.col("hb").alias("h1"))
-    if done is None:
-        return own
-    full = done.groupBy("layer", "start").agg(F.min_by("hs", "s").alias("c0"), F.max_by("he", "s").alias("c1"), F.max("s2").alias("full"))
-    ramp = done.join(full, ["layer", "start"]).withColumns({"x0": F.col("c0") + (F.col("c1") - F.col("c0")) * F.col("s") / F.col("full"), "x1": F.col("c0") + (F.col("c1") - F.col("c0")) * F.col("s2") / F.col("full")})
-    ramp = ramp.select("line", F.when(F.col("fwd"), F.col("x0")).otherwise(F.col("x1")).alias("h0"), F.when(F.col("fwd"), F.col("x1")).otherwise(F.col("x0")).alias("h1"))
-    return own.join(ramp, "line", "left_anti").unionByName(ramp)
+    end = lambda fwd, k: x.filter((F.col("fwd") == fwd) & F.col("free")).select("line", F.col("rest").alias(f"rest{k}"), F.col("tail").alias(f"tail{k}"))
+    both = decks.join(end(True, 1), "line", "left").join(end(False, 0), "line", "left")
+    full = F.col("rest0") + F.col("rest1") - F.col("len")
+    at = lambda d: F.col("tail0") + (F.col("tail1") - F.col("tail0")) * d / F.when(full > 0, full).otherwise(1.0)
+    ramp = F.col("rest0").isNotNull() & F.col("rest1").isNotNull()
+    return both.select("line", F.when(ramp, at(F.col("rest0") - F.col("len"))).otherwise(F.col("ha")).alias("h0"), F.when(ramp, at(F.col("rest0"))).otherwise(F.col("hb")).alias("h1"))
 
 
 def node_elevation(nodes: DataFrame, cells: DataFrame, height: int, width: int) -> DataFrame:

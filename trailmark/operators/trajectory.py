@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import bbox_area_km2, haversine_m
-from .energy import settled
+from ..scratch import settled
 
 STILL, STOP_S, GAP_S, RADIUS_M, SHARE = 0.5, 90, 60, 250, 0.7
 SHORTEST_S, FAR_ARRIVAL_M, GOOD_ARRIVAL_M, LONGEST_DT = 900, 500, 200, 30
@@ -159,14 +159,36 @@ def ride_window(points: DataFrame, routes: DataFrame) -> DataFrame:
     return w.join(energy, "trip", "left").join(start, "trip").join(h, "trip").select("trip", "t_dep", "t_arr", F.coalesce("kj", F.lit(0.0)).alias("kj"), F.coalesce("moving_s", F.lit(0)).alias("moving_s"), "d_start", "d_end", "d_arr", "by_stop", source.alias("source"))
 
 
+def upper_medians(values: DataFrame) -> DataFrame:
+    """values (what, x) to (what, median): of n values that aren't null the one of rank n // 2 + 1.
+
+    Equal values are counted, the counts are put in order across partitions, and the partitions' sums tell in which one a
+    rank lies; only that one is ranked within. Nothing but one sum a partition meets in one task.
+    """
+    counts = values.filter("x is not null").groupBy("what", "x").agg(F.count("*").alias("n"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settled(counts.repartitionByRange(parts, "what", "x").withColumn("part", F.spark_partition_id()))
+    sums = placed.groupBy("what", "part").agg(F.sum("n").alias("held"))
+    before = Window.partitionBy("what").orderBy("part")
+    sums = sums.withColumn("before", F.sum("held").over(before) - F.col("held")).withColumn("rank", F.floor(F.sum("held").over(Window.partitionBy("what")) / 2) + 1)
+    here = sums.filter("before < rank and rank <= before + held")
+    within = placed.join(F.broadcast(here), ["what", "part"])
+    upto = F.sum("n").over(Window.partitionBy("what", "part").orderBy("x")) + F.col("before")
+    return within.withColumn("upto", upto).filter("rank <= upto and rank > upto - n").select("what", F.col("x").alias("median"))
+
+
 def window_accuracy(blind: DataFrame, human: DataFrame) -> DataFrame:
     """Both (trip, t_dep, t_arr, kj): n, upper medians of the errors, and shares within limits."""
     x = blind.join(human.select("trip", F.col("t_dep").alias("hd"), F.col("t_arr").alias("ha"), F.col("kj").alias("hk")), "trip")
     err = {"dep_min": F.abs(F.col("t_dep") - F.col("hd")) / 60, "arr_min": F.abs(F.col("t_arr") - F.col("ha")) / 60, "kj_pct": F.try_divide(F.abs(F.col("kj") - F.col("hk")), F.col("hk")) * 100}
-    x = x.select(*[e.alias(c) for c, e in err.items()])
-    upper = lambda c: F.try_element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
+    x = settled(x.select(*[e.alias(c) for c, e in err.items()]))
     within = lambda c, m: F.avg((F.col(c) <= m).cast("int")).alias(f"{c}_within_{m}")
-    return x.agg(F.count("*").alias("n"), *[upper(c).alias(f"{c}_median") for c in err], *[within(c, m) for c in ("dep_min", "arr_min") for m in (5, 10, 30)], *[within("kj_pct", m) for m in (10, 20)])
+    shares = x.agg(F.count("*").alias("n"), *[within(c, m) for c in ("dep_min", "arr_min") for m in (5, 10, 30)], *[within("kj_pct", m) for m in (10, 20)])
+    medians = upper_medians(x.select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("double").alias("x")) for c in err]))))
+    wide = medians.agg(*[F.max(F.when(F.col("what") == c, F.col("median"))).alias(f"{c}_median") for c in err])
+    one = lambda df: df.withColumn("__row", F.lit(1))
+    both = one(shares).join(one(wide), "__row")
+    return both.select("n", *[f"{c}_median" for c in err], *shares.columns[1:])
 
 
 def densify(segments: DataFrame, step_m: float = 30.92, deck_step_m: float = 600.0) -> DataFrame:

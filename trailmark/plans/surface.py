@@ -28,7 +28,7 @@ TEXTS = {
     "sql_half_edges": (
         ("roads",),
         "g15_half_edges",
-        "SELECT src, dst, edge, a_to_b, cost FROM roads LATERAL VIEW inline(array(struct(a, b, true, cost_ab), struct(b, a, false, cost_ba))) x AS src, dst, a_to_b, cost",
+        "SELECT src, dst, edge, a_to_b, cost FROM roads LATERAL VIEW stack(2, a, b, true, cost_ab, b, a, false, cost_ba) x AS src, dst, a_to_b, cost",
     ),
     "sql_max_edge_cost": (
         ("cells",),
