@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,11 +140,24 @@ def tile_name(lat: Column, lng: Column) -> Column:
     return F.concat(F.when(la < 0, "S").otherwise("N"), F.lpad(F.abs(la).cast("string"), 2, "0"), F.when(lo < 0, "W").otherwise("E"), F.lpad(F.abs(lo).cast("string"), 3, "0"))
 
 
-def read_dem_cells(spark: SparkSession, path: str, south: float, west: float, north: float, east: float) -> DataFrame:
-    """Cells of a table partitioned by tile, within a box: only its tiles are read."""
-    import math
+CELLS_A_FILE = 2_000_000
+
 
-    tiles = [f"{'S' if a < 0 else 'N'}{abs(a):02d}{'W' if o < 0 else 'E'}{abs(o):03d}" for a in range(math.floor(south), math.floor(north) + 1) for o in range(math.floor(west), math.floor(east) + 1)]
+def write_cells(cells: DataFrame, path: str, per_file: int = CELLS_A_FILE) -> None:
+    """cells (lat, lng, ...) as a table partitioned by whole-degree tile, for read_dem_cells(). Files hold `per_file`
+    cells at most, in the order of places, so that a reader's box also skips row groups within a tile. A tile's cells
+    are dealt to as many tasks as it fills files, by bands of latitude."""
+    placed = cells.withColumn("tile", tile_name(F.col("lat"), F.col("lng")))
+    per_tile = placed.groupBy("tile").agg(F.ceil(F.count("*") / per_file).alias("__bands"))
+    band = F.floor((F.col("lat") - F.floor("lat")) * F.col("__bands"))
+    dealt = placed.join(per_tile, "tile").withColumn("__band", band).repartition("tile", "__band").sortWithinPartitions("tile", "lat", "lng")
+    dealt.drop("__bands", "__band").write.mode("overwrite").option("maxRecordsPerFile", per_file).partitionBy("tile").parquet(path)
+
+
+def read_dem_cells(spark: SparkSession, path: str, south: float, west: float, north: float, east: float) -> DataFrame:
+    """Cells of a table of write_cells() within a box: only the tiles that it touches are read."""
+    las, los = range(math.floor(south), math.floor(north) + 1), range(math.floor(west), math.floor(east) + 1)
+    tiles = [f"{'S' if a < 0 else 'N'}{abs(a):02d}{'W' if o < 0 else 'E'}{abs(o):03d}" for a in las for o in los]
     return spark.read.parquet(path).filter(F.col("tile").isin(*tiles)).filter(F.col("lat").between(south, north) & F.col("lng").between(west, east))
 
 
