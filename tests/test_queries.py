@@ -18,7 +18,7 @@ l1_validate_fix s1_text_keys s7_parse_folder_name s8_durations s12_dates s22_fil
 a1_read_triples a7_census_rows a9_gpx_points a10_gpx_pois a11_track_points a11b_track_places a12_trip_points a14_decode_polyline a15_saved_route_geometry a15b_saved_route_places g5_filter_relations
 g7_crossings g10_emit_edges g11_deck_flatten n6_swept_passes n9_repulsion_cost s15_sheet_and_exif s18_minute_round_local s24_archive_names d7_pattern_and_datatypes l7_peer_cap l8_snapshot_view g13_node_elevation
 l8_stream_snapshot l9_batch_equivalent sql_faceted_query sql_path_join sql_class_counts sql_distances sql_half_edges sql_max_edge_cost sql_text_keys
-a2_read_manifest_union a5_read_routes a6_read_saved_routes a8_read_sheet_csv a13_file_inventory a16_read_dem_cells a17_read_network_lines a18_write_routes a19_write_report d17_generate_fixtures f8_equirect_m g12_deck_chains g16b_baked_edges l4_last_points""".split()
+a2_read_manifest_union a5_read_routes a6_read_saved_routes a8_read_sheet_csv a13_file_inventory a16_read_dem_cells a17_read_network_lines a18_write_routes a19_write_report d17_generate_fixtures f8_equirect_m g12_deck_chains g16b_baked_edges l4_last_points d15_shapes""".split()
 
 
 @pytest.fixture(scope="module")

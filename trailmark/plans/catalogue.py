@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as c
 from ..operators import mutate as m
 from ..operators import rules as r
+from ..scratch import settled
 from ..sources import facts as src
 from . import views as v
 from .registry import query
@@ -186,9 +187,23 @@ def b21(spark, d):
     return c.find_saved_route(saved, refs).select("ref", "id")
 
 
-@query("c1_purge", v.sql(f"SELECT f.s, f.p, f.o FROM facts f ANTI JOIN {ROOTS} r ON f.s = r.s", "facts"))
-def c1(spark, d):
+def deep(spark, d):
+    """facts, with a derived node and a blank node of each customer."""
     f = v.facts(spark, d)
+    own, null = settled(f.filter("p = 'segment'")), F.lit(None).cast("string")
+    tail = F.concat(F.lit("_:"), F.substring_index("s", "/", -1))
+    more = lambda s, p, o, kind, parent: own.select("dump", s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), null.alias("o_dtype"), null.alias("o_lang"), parent.alias("s_parent"))
+    geo = more(F.concat("s", F.lit("_geo")), "lat", F.lit("1"), "literal", F.col("s"))
+    return settled(f.unionByName(geo).unionByName(more(F.col("s"), "detail", tail, "bnode", null)).unionByName(more(tail, "note", F.col("o"), "literal", null)))
+
+
+PURGED = v.sql(f"""WITH own AS (SELECT s, o FROM facts WHERE p = 'segment'), deep AS (SELECT s, p, o FROM facts UNION ALL SELECT s || '_geo', 'lat', '1' FROM own UNION ALL SELECT s, 'detail', '_:' || substr(s, 10) FROM own UNION ALL SELECT '_:' || substr(s, 10), 'note', o FROM own)
+  SELECT s, p, o FROM deep WHERE s NOT IN {ROOTS} AND replace(s, '_geo', '') NOT IN {ROOTS} AND replace(s, '_:', 'customer/') NOT IN {ROOTS}""", "facts")
+
+
+@query("c1_purge", PURGED)
+def c1(spark, d):
+    f = deep(spark, d)
     return m.purge(f, roots(f)).select("s", "p", "o")
 
 
@@ -237,9 +252,9 @@ def c8(spark, d):
     return m.replace_person_fields(f, f.filter("p = 'name' and dump = 'customers'").withColumn("o", F.lower("o"))).select("s", "p", "o")
 
 
-@query("c9_delete_keep_refs", v.sql(f"SELECT f.s, f.p, f.o FROM facts f ANTI JOIN {ROOTS} r ON f.s = r.s", "facts"))
+@query("c9_delete_keep_refs", PURGED)
 def c9(spark, d):
-    f = v.facts(spark, d)
+    f = deep(spark, d)
     routes = v.tours(spark, d).select(F.col("tour").alias("tour_iri"))
     return m.delete_keep_refs(f, routes, roots(f))[0].select("s", "p", "o")
 
@@ -414,6 +429,53 @@ def d7(spark, d):
     return r.rule_values(page_facts(spark, d), r.rule_table(spark, PAGE_RULES)).select("rule", "focus")
 
 
+def shaped(spark, d):
+    """Orders as tours and customers as people, in the words of the shapes, with flaws by number."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    tours = {
+        "dcterms:title": (F.when(k % 10 > 0, F.col("o_orderpriority")), "literal", r.STRING),
+        "dcterms:date": (v.iso("o_orderdate"), "literal", r.DATETIME),
+        "ph:measuredEnergy": (F.when(k % 11 == 0, -1).otherwise(k), "literal", r.DECIMAL),
+        "ph:departedAt": (F.when(k % 7 == 0, v.iso("o_orderdate")), "literal", r.STRING),
+        "schema:image": (F.when(k % 6 == 0, F.lit("http://localhost/a.jpg")).when(k % 6 > 2, F.lit("https://img.example.org/a.jpg")), "iri", None),
+        "schema:attendee": (F.concat(F.lit("person/"), F.col("o_custkey").cast("string")), "iri", None),
+    }
+    people = {"schema:name": (F.col("c_name"), "literal", r.STRING), "schema:alternateName": (F.when(c % 4 > 0, F.col("c_name")), "literal", r.STRING), "foaf:page": (F.lit("p"), "literal", r.STRING)}
+    of_tours = src.entities_to_triples(v.table(spark, d, "orders"), F.concat(F.lit("tour/"), k.cast("string")), "Tour", tours, "tours")
+    of_people = src.entities_to_triples(v.table(spark, d, "customer").filter(c % 9 > 0), F.concat(F.lit("person/"), c.cast("string")), "schema:Person", people, "people")
+    again = of_people.filter((F.col("p") == "schema:name") & (F.substring_index("s", "/", -1).cast("long") % 5 == 0)).withColumn("o", F.lit("Other"))
+    return settled(of_tours.unionByName(of_people).unionByName(again))
+
+
+def _rule(cls, path, kind):
+    """A rule's name by what it constrains."""
+    n = next(n for n, s in enumerate(r.SHAPES) if s[:2] == (cls, path) and kind in s[3])
+    return f"{n:02d}-{cls}-{path}-{kind}"
+
+
+FOUND = " UNION ALL ".join(
+    f"SELECT '{_rule(*rule)}' AS rule, count(*) AS n FROM {rows}"
+    for rule, rows in {
+        **{("Tour", path, "min"): "orders" for path in ("ph:linkRoute", "ph:inSeriesEdition", "dcterms:description")},
+        ("Tour", "dcterms:title", "min"): "orders WHERE o_orderkey % 10 = 0",
+        ("Tour", "ph:measuredEnergy", "ge"): "orders WHERE o_orderkey % 11 = 0",
+        ("Tour", "ph:departedAt", "dtype"): "orders WHERE o_orderkey % 7 = 0",
+        ("Tour", "schema:image", "min"): "orders WHERE o_orderkey % 6 IN (1, 2)",
+        ("Tour", "schema:image", "pattern_not"): "orders WHERE o_orderkey % 6 = 0",
+        ("Tour", "schema:attendee", "cls"): "orders WHERE o_custkey % 9 = 0",
+        ("schema:Person", "schema:alternateName", "min"): "customer WHERE c_custkey % 9 > 0 AND c_custkey % 4 = 0",
+        ("schema:Person", "schema:name", "max"): "customer WHERE c_custkey % 9 > 0 AND c_custkey % 5 = 0",
+        ("schema:Person", "foaf:page", "kind"): "customer WHERE c_custkey % 9 > 0",
+    }.items()
+)
+
+
+@query("d15_shapes", f"SELECT * FROM ({FOUND}) WHERE n > 0")
+def d15(spark, d):
+    """All shapes over tours and people: violations by rule."""
+    return r.violations_by_rule(r.report(shaped(spark, d), r.rule_table(spark)))
+
+
 @query("d3_rule_class", v.sql("SELECT '05-Order-customer-cls' AS rule, s AS focus FROM facts WHERE p = 'customer'", "facts"))
 def d3(spark, d):
     return r.rule_class(v.facts(spark, d), rule_df(spark)).select("rule", "focus")
