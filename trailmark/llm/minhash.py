@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,9 +143,11 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         labels = components(links).withColumnRenamed("node", "cid")
         again = mixed.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         mixed = made.table(of_several(again), "mixed")
-    # Every pair of different components that shares a bucket, but for those that were tried.
-    known = made.table(mixed.join(meet.drop("fine", "rep"), "cid"), "known")
-    apart = (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & may_match("x", "y", share, of)
+    # Every pair of different components that shares a bucket, but for those that were tried; in the first
+    # of its buckets only.
+    before = F.collect_list("e").over(Window.partitionBy("cid").orderBy("e").rowsBetween(Window.unboundedPreceding, -1))
+    known = made.table(mixed.withColumn("before", before).join(meet.drop("fine", "rep"), "cid"), "known")
+    apart = (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") < F.col("y.comp")) & may_match("x", "y", share, of) & ~F.arrays_overlap("x.before", "y.before")
     pair = known.alias("x").join(known.alias("y"), apart).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     pairs = told(pair.distinct().join(tried, ["a", "b"], "left_anti"))
     more = made.table(verify(made.table(pairs, "pairs"), texts, width, share, of), "links")
