@@ -180,7 +180,16 @@ def r6(spark, d):
     return _r(r.box_smooth(c).select("r", "c", "v"), v=4)
 
 
-@query("r7_distance_to_used")
+def best_sql(name: str, sources: str, half: str = "half") -> str:
+    """A keyed recursion: the cheapest way of each origin to each node."""
+    return f"""{name}(origin, node, energy) USING KEY (origin, node) AS ({sources} UNION SELECT f.origin, h.dst, min(f.energy + h.cost) FROM {name} f JOIN {half} h ON h.src = f.node
+  LEFT JOIN recurring.{name} r ON r.origin = f.origin AND r.node = h.dst WHERE r.energy IS NULL OR f.energy + h.cost < r.energy GROUP BY f.origin, h.dst)"""
+
+
+STEPS8 = "steps8 AS (SELECT a.r * 1000000 + a.c AS src, b.r * 1000000 + b.c AS dst, CASE WHEN a.r <> b.r AND a.c <> b.c THEN 4.0::DOUBLE ELSE 3.0::DOUBLE END AS cost FROM cells a, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(i, j) JOIN cells b ON b.r = a.r + o.i AND b.c = a.c + o.j)"
+
+
+@query("r7_distance_to_used", f"WITH RECURSIVE {v.CELLS}, {STEPS8}, {best_sql('best', 'SELECT 0, r * 1000000 + c, 0.0::DOUBLE FROM cells WHERE h = 0', 'steps8')} SELECT CAST(node // 1000000 AS INT) AS r, CAST(node % 1000000 AS INT) AS c, energy / 3 AS d FROM best")
 def r7(spark, d):
     c = v.cells(spark, d)
     return r.distance_to_used(c, c.filter("h = 0").select("r", "c"))
@@ -306,50 +315,70 @@ def g1(spark, d):
     return k(g.filter_roads(osm), "roads").union(k(g.filter_water(osm)[0], "water")).union(k(g.filter_hydro(osm), "hydro")).union(k(g.filter_cycling(osm), "cycling"))
 
 
-@query("n3_reach")
+def tree_sql(name: str, best: str, half: str = "half") -> str:
+    """Of equally cheap last steps that from the smallest parent."""
+    return f"""{name} AS (SELECT b.*, x.parent, x.edge FROM {best} b LEFT JOIN (SELECT p.origin, h.dst AS node, min(h.src) AS parent, arg_min(h.edge, h.src) AS edge FROM {best} p JOIN {half} h ON h.src = p.node
+  JOIN {best} c ON c.origin = p.origin AND c.node = h.dst AND c.energy = p.energy + h.cost GROUP BY p.origin, h.dst) x ON x.origin = b.origin AND x.node = b.node)"""
+
+
+def path_sql(name: str, tree: str, targets: str = "TRUE") -> str:
+    return f"""{name} AS (SELECT origin, node AS target, node, edge, parent, 0::INT AS back FROM {tree} WHERE {targets} UNION ALL SELECT p.origin, p.target, t.node, t.edge, t.parent, p.back + 1 FROM {name} p JOIN {tree} t ON t.origin = p.origin AND t.node = p.parent)"""
+
+
+HALF = "half AS (SELECT a AS src, b AS dst, edge, cost FROM roads UNION ALL SELECT b, a, edge, cost FROM roads)"
+ONE, EVERY = "SELECT 'o', min(a), 0.0::DOUBLE FROM roads", "SELECT DISTINCT a, a, 0.0::DOUBLE FROM roads"
+FROM_ONE = f"WITH RECURSIVE {v.ROADS}, {HALF}, {best_sql('best', ONE)}, {tree_sql('tree', 'best')}, {path_sql('path', 'tree')}"
+FROM_EVERY = f"WITH RECURSIVE {v.ROADS}, {HALF}, {best_sql('best', EVERY)}"
+
+
+@query("n3_reach", f"{FROM_ONE} SELECT origin, node, energy, parent FROM tree")
 def n3(spark, d):
+    return n.reach(half(spark, d), origin(spark, d)).select("origin", "node", "energy", "parent")
+
+
+@query("n3b_reach_within", f"{FROM_ONE} SELECT origin, node, energy, parent FROM tree WHERE energy <= 12")
+def n3b(spark, d):
     return n.reach(half(spark, d), origin(spark, d), e_max=12.0).select("origin", "node", "energy", "parent")
 
 
-@query("n4_reach_round")
+@query("n4_reach_round", f"{FROM_ONE} SELECT origin, node, 2 * energy AS energy FROM tree")
 def n4(spark, d):
-    return n.reach_round(half(spark, d), origin(spark, d), e_max=6.0)
+    return n.reach_round(half(spark, d), origin(spark, d))
 
 
-@query("n5_passes")
+@query("n5_passes", f"{FROM_ONE} SELECT origin, node, parent, edge, passes FROM tree JOIN (SELECT node, count(*) AS passes FROM path GROUP BY node) USING (node)")
 def n5(spark, d):
-    return n.passes(n.reach(half(spark, d), origin(spark, d), e_max=6.0))
+    return n.passes(n.reach(half(spark, d), origin(spark, d)))
 
 
-@query("n7_extract_path")
+@query("n7_extract_path", f"{FROM_ONE} SELECT origin, target, node, edge, back FROM path")
 def n7(spark, d):
-    tree = n.reach(half(spark, d), origin(spark, d), e_max=6.0)
+    tree = n.reach(half(spark, d), origin(spark, d))
     return n.extract_path(tree, tree.select("origin", F.col("node").alias("target")))
 
 
 def references(spark, d):
-    """Every twentieth supplier, by number."""
-    s = v.roads(spark, d).select("a").distinct().filter(F.substring("a", 2, 20).cast("long") % 20 == 0)
-    return s.select(F.col("a").alias("origin"), F.col("a").alias("node"))
+    """Every supplier."""
+    return v.roads(spark, d).select(F.col("a").alias("origin"), F.col("a").alias("node")).distinct()
 
 
-@query("n12_density")
+@query("n12_density", f"{FROM_EVERY}, {tree_sql('tree', 'best')}, {path_sql('path', 'tree')} SELECT edge, CAST(count(*) AS DOUBLE) AS passes FROM path WHERE edge IS NOT NULL GROUP BY edge")
 def n12(spark, d):
     return n.density(half(spark, d), references(spark, d))[0]
 
 
-@query("n12b_mean_energy")
+@query("n12b_mean_energy", f"{FROM_EVERY} SELECT node, sum(energy) / count(*) AS energy, count(*) AS reached FROM best GROUP BY node")
 def n12b(spark, d):
     return n.mean_energy(n.partial_energy(n.reach(half(spark, d), references(spark, d))))
 
 
-@query("n13_accessibility_matrix")
+@query("n13_accessibility_matrix", f"{FROM_EVERY} SELECT x.origin, y.origin AS target, coalesce(energy, 'infinity'::DOUBLE) AS energy FROM (SELECT DISTINCT a AS origin FROM roads) x JOIN (SELECT DISTINCT a AS origin FROM roads) y ON x.origin <> y.origin LEFT JOIN best ON best.origin = x.origin AND node = y.origin")
 def n13(spark, d):
     refs = references(spark, d)
     return n.accessibility_matrix(n.reach(half(spark, d), refs), refs)
 
 
-@query("n11_inverted_reach")
+@query("n11_inverted_reach", f"WITH RECURSIVE {v.ROADS}, most AS (SELECT max(cost) + 1 AS m FROM roads), inverted AS (SELECT a AS src, b AS dst, edge, m - cost AS cost FROM roads, most UNION ALL SELECT b, a, edge, m - cost FROM roads, most), {best_sql('best', ONE, 'inverted')} SELECT origin, node, energy FROM best")
 def n11(spark, d):
     e = half(spark, d)
     most = e.agg(F.max("cost")).first()[0] + 1
@@ -370,13 +399,26 @@ def n15(spark, d):
     return _r(n.edge_energy(e.select("edge", "a", "b"), node).select("edge", "energy"), energy=6)
 
 
-@query("n10_max_energy_walk")
+LAYERS = ", ".join(
+    ["l0 AS (SELECT min(a) AS node, 0.0::DOUBLE AS energy, NULL::VARCHAR AS parent FROM roads)"]
+    + [f"l{k} AS (SELECT dst AS node, max((e, p))[1] AS energy, max((e, p))[2] AS parent FROM (SELECT h.dst, l.energy + h.cost AS e, h.src AS p FROM l{k - 1} l JOIN half h ON h.src = l.node) GROUP BY dst)" for k in range(1, 5)]
+    + ["w4 AS (SELECT * FROM l4 ORDER BY energy DESC, node LIMIT 1)"]
+    + [f"w{k} AS (SELECT l{k}.* FROM l{k} JOIN w{k + 1} w ON w.parent = l{k}.node)" for k in range(3, -1, -1)]
+)
+
+
+@query("n10_max_energy_walk", f"WITH {v.ROADS}, {HALF}, {LAYERS} " + " UNION ALL ".join(f"SELECT {k}::INT AS layer, node, energy FROM w{k}" for k in range(5)))
 def n10(spark, d):
     start = origin(spark, d).first()["node"]
     return n.max_energy_walk(half(spark, d), start, 4)[0]
 
 
-@query("n8_top_n_routes")
+ROUTE = "SELECT {0}::INT AS route, p.node, p.edge, p.back, coalesce(h.cost, 0) AS energy, {1} AS shared FROM {2} p LEFT JOIN half h ON h.edge = p.edge AND h.dst = p.node"
+SECOND = "dear AS (SELECT h.src, h.dst, h.edge, CASE WHEN u.edge IS NULL THEN cost ELSE cost + 0.5::DOUBLE * 0.01::DOUBLE * (cost * 10) END AS cost FROM half h LEFT JOIN (SELECT DISTINCT edge FROM path1 WHERE edge IS NOT NULL) u ON u.edge = h.edge)"
+LAST = "node = (SELECT max(a) FROM roads)"
+
+
+@query("n8_top_n_routes", f"WITH RECURSIVE {v.ROADS}, {HALF}, {best_sql('best1', ONE)}, {tree_sql('tree1', 'best1')}, {path_sql('path1', 'tree1', LAST)}, {SECOND}, {best_sql('best2', ONE, 'dear')}, {tree_sql('tree2', 'best2', 'dear')}, {path_sql('path2', 'tree2', LAST)} {ROUTE.format(0, 'FALSE', 'path1')} UNION ALL {ROUTE.format(1, 'coalesce(p.edge IN (SELECT edge FROM path1 WHERE edge IS NOT NULL), FALSE)', 'path2')}")
 def n8(spark, d):
     e = v.roads(spark, d)
     a, b = e.agg(F.min("a"), F.max("a")).first()
