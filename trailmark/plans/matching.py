@@ -29,7 +29,13 @@ def e2(spark, d):
     return m.match_folders(folders, tours)
 
 
-@query("e3_match_census")
+@query("e3_match_census", """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS day, o_custkey AS route, o_orderpriority = '1-URGENT' AS act, o_orderstatus AS kind FROM orders), c AS (SELECT * FROM o WHERE kind = 'F'), t AS (SELECT * FROM o WHERE kind = 'O'),
+  r AS (SELECT c.k, count(*) AS nr, min(t.k) AS r1, count(*) FILTER (abs(t.day - c.day) <= 1) AS nn, min(t.k) FILTER (abs(t.day - c.day) <= 1) AS r2 FROM c JOIN t USING (route) GROUP BY c.k),
+  d AS (SELECT c.k, count(*) FILTER (t.day = c.day) AS n0, min(t.k) FILTER (t.day = c.day) AS d0, count(*) FILTER (t.day <> c.day) AS n1, min(t.k) FILTER (t.day <> c.day) AS d1 FROM c JOIN t ON abs(t.day - c.day) <= 1 GROUP BY c.k),
+  h AS (SELECT c.k AS id, CASE WHEN nr = 1 THEN 'route' WHEN nn = 1 THEN 'route+date' WHEN n0 = 1 THEN 'date' WHEN n0 > 1 THEN 'two tours on that date' WHEN n1 = 1 THEN 'date+-1' WHEN coalesce(n1, 0) = 0 THEN 'no tour' ELSE 'ambiguous within a day' END AS how,
+    CASE WHEN nr = 1 THEN r1 WHEN nn = 1 THEN r2 WHEN n0 = 1 THEN d0 WHEN n0 > 1 THEN NULL WHEN n1 = 1 THEN d1 END AS tour FROM c LEFT JOIN r USING (k) LEFT JOIN d USING (k)),
+  n AS (SELECT h.*, act, CASE WHEN tour IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY tour ORDER BY id) END AS n FROM h LEFT JOIN t ON t.k = tour)
+  SELECT id AS "row", CASE WHEN n = 1 THEN tour END AS tour, CASE WHEN n > 1 THEN 'taken' WHEN act THEN 'skipped' ELSE how END AS how FROM n""")
 def e3(spark, d):
     o = v.table(spark, d, "orders").withColumn("date", F.to_date("o_orderdate"))
     census = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("row"), "date", F.col("o_custkey").alias("route"))

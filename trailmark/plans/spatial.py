@@ -58,7 +58,11 @@ def f7(spark, d):
     return v.fixes(spark, d).select("trip", "seq", x.alias("x"), y.alias("y"), F.round(geo.metres_per_px(F.col("lat"), 12), 6).alias("res"))
 
 
-@query("f7b_fit_zoom")
+PIXEL_Y = "(0.5 - ln((1 + sin(radians({0}))) / (1 - sin(radians({0})))) / (4 * pi()))"
+
+
+@query("f7b_fit_zoom", v.sql(f"""WITH b AS (SELECT trip, min(lat) AS s, min(lng) AS w, max(lat) AS n, max(lng) AS e FROM fixes GROUP BY trip)
+  SELECT trip AS route, CAST(coalesce(max(z) FILTER ((e - w) / 360 * 256 * pow(2, z) <= 800 AND ({PIXEL_Y.format('s')} - {PIXEL_Y.format('n')}) * 256 * pow(2, z) <= 480), 3) AS INT) AS zoom FROM b, range(3, 20) x(z) GROUP BY trip""", "fixes"))
 def f7b(spark, d):
     return t.route_bbox(routes(spark, d)).select("route", geo.fit_zoom(*map(F.col, ("south", "west", "north", "east")), 800, 480).alias("zoom"))
 
@@ -168,10 +172,12 @@ def r4(spark, d):
     return r.sample_nearest(c.select(F.concat_ws("/", "r", "c").alias("id"), (F.col("r") + 0.2).alias("r"), (F.col("c") + 0.7).alias("c")), c)
 
 
-@query("r5_idw_fill")
+@query("r5_idw_fill", v.sql("""WITH ray AS (SELECT c.r, c.c, i, j, min(k) AS k, arg_min(o.h, k) AS v FROM cells c, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) x(i, j), range(1, 9) y(k) JOIN cells o ON o.r = c.r + i * k AND o.c = c.c + j * k AND o.h >= 25 GROUP BY ALL),
+  f AS (SELECT r, c, sum(v / (k * k * (i * i + j * j))) / sum(1.0::DOUBLE / (k * k * (i * i + j * j))) AS v FROM ray GROUP BY r, c)
+  SELECT c.r, c.c, round(CASE WHEN c.h >= 25 THEN c.h ELSE f.v END, 6) AS v, c.h >= 25 AS network FROM cells c LEFT JOIN f ON f.r = c.r AND f.c = c.c""", "cells"))
 def r5(spark, d):
     c = v.cells(spark, d)
-    return r.idw_fill(c, c.filter("h >= 25").select("r", "c", F.col("h").alias("v")), 8)
+    return _r(r.idw_fill(c, c.filter("h >= 25").select("r", "c", F.col("h").alias("v")), 8), v=6)
 
 
 @query("r6_box_smooth", v.sql("SELECT c.r, c.c, round(CASE WHEN c.h > 40 THEN c.h ELSE avg(o.h) END, 4) AS v FROM cells c JOIN cells o ON o.r BETWEEN c.r - 1 AND c.r + 1 AND o.c BETWEEN c.c - 1 AND c.c + 1 GROUP BY c.r, c.c, c.h", "cells"))
@@ -255,10 +261,13 @@ def net(spark, d):
     return x.select((F.col("trip") * 100_000 + F.floor((F.col("seq") - 1) / 2)).alias("line"), ((F.col("seq") - 1) % 2).alias("seq"), ((F.col("lat") + 24) * 100).alias("r"), ((F.col("lng") + 47) * 100).alias("c"))
 
 
-@query("g8_t_junctions")
+@query("g8_t_junctions", v.sql("""WITH v AS (SELECT trip * 100000 + (seq - 1) // 2 AS line, (seq - 1) % 2 AS seq, (lat + 24) * 100 AS r, (lng + 47) * 100 AS c FROM fixes),
+  s AS (SELECT a.line, a.seq, a.r, a.c, b.r - a.r AS dr, b.c - a.c AS dc FROM v a JOIN v b ON b.line = a.line AND a.seq = 0 AND b.seq = 1 WHERE a.r <> b.r OR a.c <> b.c),
+  x AS (SELECT s.*, v.r AS vr, v.c AS vc, ((v.r - s.r) * dr + (v.c - s.c) * dc) / (dr * dr + dc * dc) AS t FROM s JOIN v ON v.line <> s.line AND v.r BETWEEN least(s.r, s.r + dr) - 0.03 AND greatest(s.r, s.r + dr) + 0.03 AND v.c BETWEEN least(s.c, s.c + dc) - 0.03 AND greatest(s.c, s.c + dc) + 0.03)
+  SELECT DISTINCT line, seq, round(t, 6) AS t, vr AS r, vc AS c FROM x WHERE t > 1e-9 AND t < 1 - 1e-9 AND sqrt(pow(vr - (r + t * dr), 2) + pow(vc - (c + t * dc), 2)) <= 0.02""", "fixes"))
 def g8(spark, d):
     x = net(spark, d)
-    return g.t_junctions(x, g.segments(x), 0.02)
+    return _r(g.t_junctions(x, g.segments(x), 0.02), t=6)
 
 
 @query("g9_snap_nodes", v.sql("SELECT CAST(floor(lat / 0.01 + 0.5) AS BIGINT) AS i, CAST(floor(lng / 0.01 + 0.5) AS BIGINT) AS j, arg_min(lat, trip * 1000000 + seq) AS r FROM fixes GROUP BY 1, 2", "fixes"))
@@ -276,11 +285,19 @@ def g13(spark, d):
     return g.node_elevation(nodes, c, 1 << 30, 1 << 30)
 
 
-@query("g14_edge_profiles")
+def leg_sql(dist: str, rise: str) -> str:
+    """LEG of a distance and a rise."""
+    return f"(SELECT {LEG} FROM (SELECT {dist} AS d, {rise} AS dh))"
+
+
+@query("g14_edge_profiles", v.sql(f"""WITH x AS (SELECT a.r, a.c, (b.h - a.h) / 2 AS up1, (e.h - b.h) / 2 AS up2, a.h AS h1, b.h AS h2, e.h AS h3 FROM cells a JOIN cells b ON b.r = a.r AND b.c = a.c + 1 JOIN cells e ON e.r = a.r AND e.c = a.c + 2)
+  SELECT r || '/' || c AS edge, 60.0::DOUBLE AS len_m, 15.0::DOUBLE AS step_m, round((h1 + h3) * 1.5 + 2 * h2, 3) AS heights, round(2 * {leg_sql('15.0', 'up1')} + 2 * {leg_sql('15.0', 'up2')}, 6) AS cost_ab, round(2 * {leg_sql('15.0', '-up1')} + 2 * {leg_sql('15.0', '-up2')}, 6) AS cost_ba FROM x""", "cells"))
 def g14(spark, d):
     c = v.cells(spark, d)
     e = c.select(F.concat_ws("/", "r", "c").alias("edge"), (F.col("r") + 0.5).alias("r1"), (F.col("c") + 0.5).alias("c1"), (F.col("r") + 0.5).alias("r2"), (F.col("c") + 2.5).alias("c2"))
-    return n.directed_costs(g.edge_profiles(e, c, 1 << 30, 1 << 30, 30.0, 30.0, 15.0).filter(~F.exists("profile", lambda x: x.isNull())))
+    x = n.directed_costs(g.edge_profiles(e, c, 1 << 30, 1 << 30, 30.0, 30.0, 15.0).filter(~F.exists("profile", lambda x: x.isNull())))
+    x = x.withColumn("heights", F.aggregate("profile", F.lit(0.0), lambda a, h: a + h)).drop("profile")
+    return _r(x.select("edge", "len_m", "step_m", "heights", "cost_ab", "cost_ba"), heights=3, cost_ab=6, cost_ba=6)
 
 
 @query("g15_half_edges", v.sql("SELECT a AS src, b AS dst, edge, TRUE AS a_to_b, cost FROM roads UNION ALL SELECT b, a, edge, FALSE, cost FROM roads", "roads"))
@@ -295,11 +312,12 @@ def g16(spark, d):
     return g.bake_graph(lines, x.select(F.col("trip").alias("line"), "seq", F.col("power").alias("h")))[0].select("key.i", "key.j", "dm")
 
 
-@query("g17_nearest_node")
+@query("g17_nearest_node", v.sql("""WITH x AS (SELECT trip || '/' || seq AS id, lat, lng, kind FROM fixes), m AS (SELECT p.id AS p, sqrt(pow(p.lat - n.lat, 2) + pow(p.lng - n.lng, 2)) AS d, n.id AS node FROM x p, x n WHERE p.kind = 'view' AND n.kind = 'purchase')
+  SELECT p, min((d, node))[2] AS node, round(min(d), 9) AS d FROM m GROUP BY p""", "fixes"))
 def g17(spark, d):
     x = v.fixes(spark, d)
     nodes = x.filter("kind = 'purchase'").select(F.concat_ws("/", "trip", "seq").alias("id"), F.col("lat").alias("r"), F.col("lng").alias("c"), F.lit(True).alias("valid"))
-    return g.nearest_node(x.filter("kind = 'view'").select(F.concat_ws("/", "trip", "seq").alias("p"), F.col("lat").alias("r"), F.col("lng").alias("c")), nodes, 0.002)
+    return g.nearest_node(x.filter("kind = 'view'").select(F.concat_ws("/", "trip", "seq").alias("p"), F.col("lat").alias("r"), F.col("lng").alias("c")), nodes, 0.002).withColumn("d", F.round("d", 9))
 
 
 @query("g18_layer_counts", "SELECT o_orderpriority AS layer, count(*) AS n FROM orders GROUP BY 1")
