@@ -5,7 +5,9 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 pytest.importorskip("public_tokenizers")
-from trailmark.llm import divergence, lexical, minhash, oracles, queries  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from trailmark.llm import divergence, lexical, minhash, oracles, queries, topk  # noqa: E402
 
 from .test_operators import EDGE, LONG, SCHEMA, brute_components  # noqa: E402
 
@@ -145,3 +147,15 @@ def test_minhash_edges(rows, none):
     assert by_id[4]["n_shingles"] == len({tuple(w[k : k + 4]) for k in range(len(w) - 3)})
     assert by_id[6]["kept"] and by_id[7]["kept"]
     assert minhash.link(none).collect() == []
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    schema = "vec_id long, embedding array<double>"
+    large = spark.createDataFrame([(1, [1.0] * 8), (2, [3e7] * 8)], schema)
+    with pytest.raises(Exception, match="scores of vector 2 don't fit"):
+        topk.top_k(large, F.col("__id") == 1).collect()
+    most = 7e5  # 8 * (1024 * 7e5)^2 is just below 2^62
+    near = spark.createDataFrame([(1, [most] * 8), (2, [-most] * 8), (3, [most] * 7 + [0.0]), (4, [])], schema)
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(near, F.col("__id") == 1).orderBy("rank").collect()]
+    one = int(most * 1024) ** 2
+    assert got == [(3, 7 * one), (2, -8 * one)]

@@ -33,7 +33,10 @@ def quantized(vectors: DataFrame, vec_id: str, embedding: str, scale: int = SCAL
     """__id, __v (floor(scale * x) as doubles, which are whole numbers) and __dim, of valid vectors."""
     x = F.col(f"`{embedding}`").cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    whole = F.transform(x, lambda c: F.floor(c * scale).cast("double"))
+    longest = F.size(x) * F.pow(F.coalesce(F.array_max(F.transform(x, lambda c: F.abs(c * scale))), F.lit(0.0)), 2)
+    message = F.concat(F.lit("scores of vector "), F.col(f"`{vec_id}`").cast("string"), F.lit(" don't fit into 64 bits"))
+    fits = F.when(longest < 2.0**62, x).otherwise(F.raise_error(message).cast("array<double>"))
+    whole = F.transform(fits, lambda c: F.floor(c * scale).cast("double"))
     return vectors.filter(F.col(f"`{embedding}`").isNotNull() & F.col(f"`{vec_id}`").isNotNull() & ~bad).select(F.col(f"`{vec_id}`").cast("long").alias("__id"), whole.alias("__v"), F.size(x).alias("__dim"))
 
 
@@ -78,7 +81,9 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embed
     """query_id, rank, vec_id, score: the k highest of each query, ties to the smaller id, never itself.
 
     is_query is a condition on __id. Vectors that are null or hold nulls or non-finite numbers take no
-    part; vectors of different dimensions aren't compared. Repeated rows are candidates of their own,
+    part; vectors of different dimensions aren't compared. A vector that is too long for its scores to be sure to
+    fit into 64 bits (dimensions times the square of its largest component, scaled, of 2^62) is an error that
+    names it. Repeated rows are candidates of their own,
     and a repeated query is answered once. Fewer candidates than k give fewer rows; none give none.
     """
     rows = materialize(quantized(vectors, vec_id, embedding, scale), "vectors")
