@@ -13,24 +13,55 @@ are a product.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, column
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_DOCUMENTS, SCALE, ADDED, RANKS = 30, 1_000_000_000, 5, 50
 GROUP = ("lang", "source")
+#: Takes A-Z to a-z, other bytes of terms to themselves, the rest to blanks.
+BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b > 0x7F or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+#: A task hands on its counts when it has this many different ones.
+COUNTS_HELD = 300_000
 
 
 def occurrences(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """(lang, source, term, first): each occurrence, and 1 for the first one in its row, else 0."""
-    plain = lambda c: F.coalesce(column(c).cast("string"), F.lit(""))
-    found = F.sort_array(F.regexp_extract_all(F.translate(plain(text), CAPITALS, SMALL), F.lit(TERM), F.lit(0)))
-    rows = docs.select(plain(lang).alias("lang"), plain(source).alias("source"), found.alias("all"))
-    told = F.transform("all", lambda t, i: F.struct(t.alias("term"), F.when((i > 0) & (F.get("all", i - 1) == t), 0).otherwise(1).cast("long").alias("first")))
-    return rows.select("lang", "source", F.inline(told))
+    """(lang, source, term, n, rows): occurrences and rows that hold the term, counted in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def counted() -> pa.RecordBatch:
+            parts = []
+            for (lang, source), (n, rows) in found.items():
+                terms = list(n)
+                numbers = [pa.array(map(c.__getitem__, terms), pa.int64(), size=len(terms)) for c in (n, rows)]
+                parts.append([pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), *numbers])
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], [*GROUP, "term", "n", "rows"])
+
+        held = 0
+        for b in batches:
+            for t, *group in zip(*(c.to_pylist() for c in b.columns)):
+                n, rows = found.setdefault(tuple(group), (Counter(), Counter()))
+                terms = t.encode().translate(BYTES).split()
+                held -= len(n)
+                n.update(terms)
+                rows.update(set(terms))
+                held += len(n)
+                if held >= COUNTS_HELD:
+                    yield counted()
+                    held = 0
+        if held:
+            yield counted()
+
+    plain = lambda c, name: F.coalesce(column(c).cast("string"), F.lit("")).alias(name)
+    return docs.select(plain(text, "text"), plain(lang, "lang"), plain(source, "source")).mapInArrow(run, "lang string, source string, term string, n long, rows long")
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -54,7 +85,7 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     made = Scratch(docs.sparkSession)
     plain = lambda c: F.coalesce(column(c).cast("string"), F.lit(""))
     groups = docs.select(plain(lang).alias("lang"), plain(source).alias("source")).distinct()
-    counts = occurrences(docs, text, lang, source).groupBy(*GROUP, "term").agg(F.count("*").alias("n"), F.sum("first").alias("rows"))
+    counts = occurrences(docs, text, lang, source).groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     of_term = Window.partitionBy("lang", "term")
     both = counts.withColumns({"of_lang": F.sum("n").over(of_term), "in_rows": F.sum("rows").over(of_term)})
     kept = made.table(both.filter(F.col("in_rows") >= least).select(*GROUP, "term", "n", "of_lang"), "kept")
