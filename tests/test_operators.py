@@ -218,6 +218,30 @@ def test_decks(spark):
     assert got == {"x": (0.0, 4.0), "y": (8.0, 4.0), "z": (1.0, 2.0)}
 
 
+@pytest.mark.parametrize("seed,tile", [(1, 8), (2, 64)])
+def test_distances_by_tiles(spark, seed, tile, monkeypatch):
+    """A maze around the origin, whose ways wind through many tiles, and an island that nothing reaches."""
+    rnd = random.Random(seed)
+    cells = {(r, c) for r in range(-8, 8) for c in range(-9, 9) if (r % 4 or c in (-9, 8)[r // 4 % 2 : r // 4 % 2 + 1]) and rnd.random() < 0.93} | {(90, 90), (90, 91)}
+    seeds = [c for c in sorted(cells) if c[0] == 7][:2] + [(500, 500)]
+    best, heap = dict.fromkeys(seeds[:2], 0), [(0, s) for s in seeds[:2]]
+    while heap:
+        d, (r, c) = heapq.heappop(heap)
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                to, cost = (r + i, c + j), d + (4 if i and j else 3)
+                if to in cells and cost < best.get(to, 1e9):
+                    best[to] = cost
+                    heapq.heappush(heap, (cost, to))
+    rounds = []
+    real = raster.settled
+    monkeypatch.setattr(raster, "settled", lambda df: rounds.append(1) or real(df))
+    df = lambda xs: spark.createDataFrame(sorted(xs), "r int, c int")
+    got = {(r["r"], r["c"]): r["d"] for r in raster.distance_to_used(df(cells), df(seeds), tile).collect()}
+    assert got == {k: d / 3 for k, d in best.items()} and len(got) > 100
+    assert tile < 64 or len(rounds) <= 20  # the corridors cross the four tiles around the origin again and again
+
+
 def test_phash(spark):
     px = [(i, r, c, float((r * 5 + c * (3 + i)) % 256), float(c), float(r)) for i in range(2) for r in range(40) for c in range(40)]
     df = spark.createDataFrame(px, "img int, r int, c int, red double, green double, blue double")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import Cost, leg_energy
+from ..scratch import settled
 
 DISAGREE_M = 100.0
 
@@ -151,14 +154,50 @@ def max_edge_cost(cells: DataFrame, dx: float, dy: float, cost: Cost = Cost()) -
     return cells.filter("mask").agg((F.max("h") - F.min("h")).alias("rise")).select((((cost.a_roll + cost.a_aero) * d + cost.beta * F.col("rise")) * 1.001).alias("most"))
 
 
-def distance_to_used(cells: DataFrame, seeds: DataFrame, max_rounds: int = 10_000, checkpoint_every: int = 5) -> DataFrame:
-    """(r, c, d): distance to the nearest seed in cells, 3 for a side and 4 for a diagonal step, over three."""
-    from .energy import relax
-
-    at = cells.select(F.col("r").alias("dst_r"), F.col("c").alias("dst_c"))
-    w = F.when((F.col("dr") != 0) & (F.col("dc") != 0), 4.0).otherwise(3.0)
-    e = _moved(cells.select("r", "c"), move_list(8)).join(at, ["dst_r", "dst_c"])
-    node = lambda a, b: F.struct(F.col(a).alias("r"), F.col(b).alias("c"))
-    half = e.select(node("r", "c").alias("src"), node("dst_r", "dst_c").alias("dst"), w.alias("cost"), F.lit(0).cast("long").alias("edge"))
-    found = relax(half, seeds.select(F.lit("all").alias("origin"), node("r", "c").alias("node")), max_rounds=max_rounds, checkpoint_every=checkpoint_every)
-    return found.select("node.r", "node.c", (F.col("energy") / 3).alias("d"))
+TILE_CELLS = 256
+
+
+def distance_to_used(cells: DataFrame, seeds: DataFrame, tile: int = TILE_CELLS) -> DataFrame:
+    """(r, c, d) of the cells that a walk over cells reaches from a seed among them: the distance to the nearest one, 3
+    for a side and 4 for a diagonal step, over three.
+
+    Cells lie in square tiles. A tile takes the distances that got smaller at its neighbours' borders and works
+    them in to the end; then its own border's go on. So rounds grow with the tiles that a way crosses, not with
+    cells, a task holds one tile, and a round touches the tiles only that something comes to.
+    """
+    far = 1 << 60
+    seed = seeds.select("r", "c").distinct().withColumn("__d", F.lit(0).cast("long"))
+    own = lambda c: F.floor(F.col(c) / tile).alias(f"t{c}")
+    x = cells.select("r", "c").distinct().join(seed, ["r", "c"], "left")
+    x = settled(x.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce("__d", F.lit(far)).alias("d"), own("r"), own("c"), F.col("__d").isNotNull().alias("new")))
+    touched = F.explode(F.array_distinct(F.array(*[F.struct(F.floor((F.col("r") + i) / tile).alias("tr"), F.floor((F.col("c") + j) / tile).alias("tc")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
+
+    def settle(key: tuple, mine: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
+        size = tile + 2  # with a frame for the neighbours' cells
+        d = np.full((size, size), far, np.int64)
+        put = lambda f: (f["r"].to_numpy() - key[0] * tile + 1, f["c"].to_numpy() - key[1] * tile + 1)
+        there = np.zeros((size, size), bool)
+        d[put(mine)], there[put(mine)] = mine["d"], True
+        d[put(come.rename(columns={"come_r": "r", "come_c": "c"}))] = come["come_d"]
+        while True:
+            sides = np.minimum.reduce([np.roll(d, s, a) for s in (1, -1) for a in (0, 1)]) + 3
+            corners = np.minimum.reduce([np.roll(d, (i, j), (0, 1)) for i in (1, -1) for j in (1, -1)]) + 4
+            better = there & (np.minimum(sides, corners) < d)
+            if not better.any():
+                break
+            d = np.where(better, np.minimum(sides, corners), d)
+        now = d[put(mine)]
+        return mine.assign(new=now < mine["d"].to_numpy(), d=now)
+
+    first = True
+    while True:
+        front = x.filter("new").select("r", "c", "d", F.col("tr").alias("from_r"), F.col("tc").alias("from_c"), touched.alias("t")).select("r", "c", "d", "from_r", "from_c", "t.*")
+        front = settled(front if first else front.filter("tr != from_r or tc != from_c")).drop("from_r", "from_c")
+        come = front.toDF("come_r", "come_c", "come_d", "to_r", "to_c")
+        active = come.select(F.col("to_r").alias("tr"), F.col("to_c").alias("tc")).distinct()
+        if not front.limit(1).count():
+            kind = dict(cells.dtypes)
+            return x.filter(F.col("d") < far).select(F.col("r").cast(kind["r"]).alias("r"), F.col("c").cast(kind["c"]).alias("c"), (F.col("d") / 3).alias("d"))
+        done = x.join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").cogroup(come.groupBy("to_r", "to_c")).applyInPandas(settle, "tr long, tc long, r long, c long, d long, new boolean")
+        idle = x.join(active, ["tr", "tc"], "left_anti").withColumn("new", F.lit(False))
+        x, first = settled(done.unionByName(idle)), False
