@@ -172,7 +172,8 @@ def r4(spark, d):
     return r.sample_nearest(c.select(F.concat_ws("/", "r", "c").alias("id"), (F.col("r") + 0.2).alias("r"), (F.col("c") + 0.7).alias("c")), c)
 
 
-@query("r5_idw_fill", v.sql("""WITH ray AS (SELECT c.r, c.c, i, j, min(k) AS k, arg_min(o.h, k) AS v FROM cells c, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) x(i, j), range(1, 9) y(k) JOIN cells o ON o.r = c.r + i * k AND o.c = c.c + j * k AND o.h >= 25 GROUP BY ALL),
+@query("r5_idw_fill", v.sql("""WITH hit AS (SELECT r - i * k AS r, c - j * k AS c, i, j, k, h FROM cells CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) x(i, j) CROSS JOIN range(1, 9) y(k) WHERE h >= 25),
+  ray AS (SELECT r, c, i, j, min(k) AS k, arg_min(h, k) AS v FROM hit GROUP BY ALL),
   f AS (SELECT r, c, sum(v / (k * k * (i * i + j * j))) / sum(1.0::DOUBLE / (k * k * (i * i + j * j))) AS v FROM ray GROUP BY r, c)
   SELECT c.r, c.c, round(CASE WHEN c.h >= 25 THEN c.h ELSE f.v END, 6) AS v, c.h >= 25 AS network FROM cells c LEFT JOIN f ON f.r = c.r AND f.c = c.c""", "cells"))
 def r5(spark, d):
@@ -192,7 +193,7 @@ def best_sql(name: str, sources: str, half: str = "half") -> str:
   LEFT JOIN recurring.{name} r ON r.origin = f.origin AND r.node = h.dst WHERE r.energy IS NULL OR f.energy + h.cost < r.energy GROUP BY f.origin, h.dst)"""
 
 
-STEPS8 = "steps8 AS (SELECT a.r * 1000000 + a.c AS src, b.r * 1000000 + b.c AS dst, CASE WHEN a.r <> b.r AND a.c <> b.c THEN 4.0::DOUBLE ELSE 3.0::DOUBLE END AS cost FROM cells a, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(i, j) JOIN cells b ON b.r = a.r + o.i AND b.c = a.c + o.j)"
+STEPS8 = "steps8 AS (SELECT a.r * 1000000 + a.c AS src, b.r * 1000000 + b.c AS dst, CASE WHEN a.r <> b.r AND a.c <> b.c THEN 4.0::DOUBLE ELSE 3.0::DOUBLE END AS cost FROM cells a CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(i, j) JOIN cells b ON b.r = a.r + o.i AND b.c = a.c + o.j)"
 
 
 @query("r7_distance_to_used", f"WITH RECURSIVE {v.CELLS}, {STEPS8}, {best_sql('best', 'SELECT 0, r * 1000000 + c, 0.0::DOUBLE FROM cells WHERE h = 0', 'steps8')} SELECT CAST(node // 1000000 AS INT) AS r, CAST(node % 1000000 AS INT) AS c, energy / 3 AS d FROM best")
