@@ -412,3 +412,27 @@ def test_budget_of_zero(spark):
     src = spark.createDataFrame([("o", "a")], "origin string, node string")
     assert {r["node"] for r in energy.reach(half, src, e_max=0.0).collect()} == {"a", "b"}
     assert {r["node"] for r in energy.reach_round(half, src, e_max=0.0, per_leg=False).collect()} == {"a"}
+
+
+def encoded(points):
+    """Points of whole hundred-thousandths in the polyline format."""
+    out, before = [], (0, 0)
+    for p in points:
+        for a, b in zip(p, before):
+            x = (a - b) << 1 if a >= b else ~((a - b) << 1)
+            while x >= 32:
+                out.append(chr((x & 31 | 32) + 63))
+                x >>= 5
+            out.append(chr(x + 63))
+        before = p
+    return "".join(out)
+
+
+def test_long_polylines(spark):
+    rnd = random.Random(6)
+    lines = {n: [(rnd.randrange(-9_000_000, 9_000_001), rnd.randrange(-18_000_000, 18_000_001)) for _ in range(n)] for n in (1, 2, 63, 64, 65, 128, 4_097, 20_000)}
+    rows = [(str(n), encoded(pts)) for n, pts in lines.items()] + [("odd", encoded(lines[2])[:-1]), ("far", encoded([(0, 0), (9_000_001, 0)])), ("other", "??\n?"), ("open", "??_"), ("empty", ""), ("null", None)]
+    got = {r["k"]: r["p"] for r in spark.createDataFrame(rows, "k string, t string").select("k", files.decode_polyline(F.col("t")).alias("p")).collect()}
+    for n, pts in lines.items():
+        assert got[str(n)] is None if n < 2 else [(p["lat"], p["lng"]) for p in got[str(n)]] == [(a / 1e5, b / 1e5) for a, b in pts]
+    assert [got[k] for k in ("far", "other", "open", "empty", "null")] == [None] * 5

@@ -91,31 +91,42 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def decode_polyline(text: Column) -> Column:
-    """Encoded points as array<struct<lat,lng>>; null if corrupt, of fewer than two points or out of range."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63)
-    start = F.struct(F.lit(0).cast("long").alias("cur"), F.lit(0).alias("shift"), F.array().cast("array<bigint>").alias("nums"))
+    """Encoded points as array<struct<lat,lng>>; null if corrupt, of fewer than two points or out of range.
 
-    def step(a: Column, c: Column) -> Column:
-        cur = a["cur"] + F.call_function("shiftleft", c.bitwiseAND(F.lit(31)).cast("long"), a["shift"])
-        signed = F.when(cur.bitwiseAND(F.lit(1)) == 1, -F.shiftright(cur, 1) - 1).otherwise(F.shiftright(cur, 1))
-        more = c >= 32
-        return F.struct(F.when(more, cur).otherwise(F.lit(0).cast("long")).alias("cur"), F.when(more, a["shift"] + 5).otherwise(F.lit(0)).alias("shift"), F.when(more, a["nums"]).otherwise(F.concat(a["nums"], F.array(signed))).alias("nums"))
+    A number is a run of characters from `_` up and one below it. Sums run within blocks of about the root of
+    the number of points, and then over blocks, since an array can't grow without being copied.
+    """
+    zero = F.lit(0).cast("long")
+    # A lambda's argument is computed once, an expression that is used again isn't.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def number(run: Column) -> Column:
+        five = lambda k: (F.ascii(F.substr(run, k + 1, F.lit(1))) - 63).bitwiseAND(F.lit(31)).cast("long")
+        bits = F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), zero, lambda a, k: a + F.call_function("shiftleft", five(k), 5 * k))
+        return once(bits, lambda x: F.when(x.bitwiseAND(F.lit(1)) == 1, -F.shiftright(x, 1) - 1).otherwise(F.shiftright(x, 1)))
 
-    first = F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lng"), F.array().cast("array<struct<lat:double,lng:double>>").alias("pts"))
+    pair = lambda lat, lng: (lat.alias("lat"), lng.alias("lng"))
 
     def points(nums: Column) -> Column:
+        n = F.floor(F.size(nums) / 2).cast("int")
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+        start = F.struct(*pair(zero, zero), F.array().cast("array<struct<lat:bigint,lng:bigint>>").alias("pts"))
+
         def add(a: Column, k: Column) -> Column:
-            lat, lng = a["lat"] + F.get(nums, 2 * k), a["lng"] + F.get(nums, 2 * k + 1)
-            return F.struct(lat.alias("lat"), lng.alias("lng"), F.concat(a["pts"], F.array(F.struct((lat / 1e5).alias("lat"), (lng / 1e5).alias("lng")))).alias("pts"))
+            there = F.struct(*pair(a["lat"] + F.get(nums, 2 * k), a["lng"] + F.get(nums, 2 * k + 1)))
+            return once(there, lambda p: F.struct(*pair(p["lat"], p["lng"]), F.concat(a["pts"], F.array(p)).alias("pts")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.floor(F.size(nums) / 2).cast("int") - 1), first, add)["pts"]
+        block = lambda b: F.aggregate(F.sequence(b * size, F.least(n, (b + 1) * size) - 1), start, add)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), block)
+        before = lambda all_, b: F.aggregate(F.slice(all_, F.lit(1), b), F.struct(*pair(zero, zero)), lambda a, x: F.struct(*pair(a["lat"] + x["lat"], a["lng"] + x["lng"])))
+        moved = lambda x, o: F.transform(x["pts"], lambda p: F.struct(*pair((p["lat"] + o["lat"]) / 1e5, (p["lng"] + o["lng"]) / 1e5)))
+        return once(blocks, lambda all_: F.flatten(F.transform(all_, lambda x, b: once(before(all_, b), lambda o: moved(x, o)))))
 
-    # A lambda's argument is computed once, an expression that is used again isn't.
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    whole = lambda x: (x["shift"] == 0) & (F.size(x["nums"]) % 2 == 0) & (F.size(x["nums"]) >= 4)
     there = lambda pts: F.when(~F.exists(pts, lambda p: (F.abs(p["lat"]) > 90) | (F.abs(p["lng"]) > 180)), pts)
-    fits = text.isNotNull() & ~F.exists(codes, lambda c: (c < 0) | (c > 63))
-    return F.when(fits, once(F.aggregate(codes, start, step), lambda x: F.when(whole(x), once(x["nums"], lambda nums: once(points(nums), there)))))
+    whole = lambda nums: (F.size(nums) % 2 == 0) & (F.size(nums) >= 4)
+    fits = ~text.rlike("[^?-~]") & F.right(text, F.lit(1)).rlike("[?-^]")
+    runs = F.regexp_extract_all(text, F.lit("([_-~]*[?-^])"), 1)
+    return F.when(fits, once(F.transform(runs, number), lambda nums: F.when(whole(nums), once(points(nums), there))))
 
 
 def saved_route_geometry(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
