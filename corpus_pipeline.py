@@ -2,6 +2,12 @@
 
 run() writes each stage's result as Parquet into the folder that driver and executors share and reads
 it again as the next stage's documents.
+
+Null, empty and wordless texts fail the quality rules. Rows without an id are judged and cleaned like
+others, aren't compared with others as near duplicates, and are mixed and packed. Repeated rows, and rows
+that share an id, stay together through all stages. Null sources are one source. Texts of any length are
+read whole. Further columns pass through to the stage before the last, whatever their names. An empty table
+gives no sequences.
 """
 
 from __future__ import annotations
@@ -46,7 +52,7 @@ STAGES = [
     ("packing", packed_sequences),
 ]
 
-#: Token ids can't be had in SQL; tests/llm compares run() with a plain version of all stages.
+#: Token ids can't be had in SQL; tests/llm/test_pipeline_run.py compares run() with a plain version of all stages.
 ORACLE_SQL = None
 
 
