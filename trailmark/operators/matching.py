@@ -19,13 +19,22 @@ DAY_S = 86_400
 
 def asof_tour(media: DataFrame, tours: DataFrame, before_s: int = 2 * 3600, after_s: int = 12 * 3600) -> DataFrame:
     """media (m, ts) and tours (tour, ts) to (m, tour): -before <= media - tour <= after, the nearest,
-    ties to the earliest tour. Tours go to each day their window touches, so the join is by day."""
+    ties to the earliest tour. Tours go to each day their window touches.
+
+    Both sides are taken by seconds: the smallest tour of a second stands for all of it, and a second is matched
+    once for all its media. So a day's window has at most its seconds and those of the tours around it, however
+    many rows there are."""
     sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    m = media.select("m", sec.alias("mt")).withColumn("day", F.floor(F.col("mt") / DAY_S))
-    t = tours.select("tour", sec.alias("tt")).withColumn("day", F.explode(F.sequence(F.floor((F.col("tt") - before_s) / DAY_S), F.floor((F.col("tt") + after_s) / DAY_S))))
-    gap = F.col("mt") - F.col("tt")
-    hit = m.join(t, "day").filter((gap >= -before_s) & (gap <= after_s))
-    return hit.groupBy("m").agg(F.min(F.struct(F.abs(gap).alias("d"), "tt", "tour"))["tour"].alias("tour"))
+    m = media.select("m", sec.alias("s")).filter("s is not null")
+    t = tours.select("tour", sec.alias("s")).groupBy("s").agg(F.min(F.struct("s", "tour")).alias("t"))
+    days = F.explode(F.sequence(F.floor((F.col("s") - before_s) / DAY_S), F.floor((F.col("s") + after_s) / DAY_S)))
+    asked = m.select("s").distinct().select(F.floor(F.col("s") / DAY_S).alias("day"), "s", F.lit(None).cast(t.schema["t"].dataType).alias("t"))
+    both = t.select(days.alias("day"), "s", "t").unionByName(asked)
+    w = Window.partitionBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"was": F.last("t", True).over(w.orderBy("s")), "next": F.last("t", True).over(w.orderBy(F.desc("s")))})
+    of = lambda k: F.when((F.col("s") - F.col(f"{k}.s")).between(-before_s, after_s), F.struct(F.abs(F.col("s") - F.col(f"{k}.s")).alias("d"), F.col(f"{k}.s").alias("tt"), F.col(f"{k}.tour").alias("tour")))
+    near = both.filter("t is null").select("s", F.least(of("was"), of("next")).alias("x")).filter("x is not null")
+    return m.join(near, "s").groupBy("m").agg(F.min("x")["tour"].alias("tour"))
 
 
 def match_folders(folders: DataFrame, tours: DataFrame, block: int = 10_000) -> DataFrame:
