@@ -5,8 +5,10 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,31 +230,68 @@ def hamming_dedup(incoming: DataFrame, known: DataFrame, most: int = 5) -> DataF
 
 def luma(pixels: DataFrame, n: int = 32) -> DataFrame:
     """pixels (img, r, c, red, green, blue) to an n by n grid of brightness (img, r, c, luma), sampled between
-    the four nearest pixels."""
+    the four nearest pixels. Of a picture only the lines and columns that samples lie between are gathered, about
+    4 * n * n pixels at most."""
     size = pixels.groupBy("img").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
-    grid = size.select("img", "h", "w", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.lit(None).alias("_")).drop("_").select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
-    u, v = (F.col("j") + 0.5) * F.col("w") / n - 0.5, (F.col("i") + 0.5) * F.col("h") / n - 0.5
-    x0, y0 = F.floor(u), F.floor(v)
-    fx, fy = u - x0, v - y0
-    clip = lambda x, top: F.greatest(F.lit(0), F.least(x, top - 1)).cast("int")
-    corner = lambda dy, dx, wt: F.struct(clip(y0 + dy, F.col("h")).alias("r"), clip(x0 + dx, F.col("w")).alias("c"), wt.alias("wt"))
-    taps = grid.select("img", "i", "j", F.inline(F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(0, 1, fx * (1 - fy)), corner(1, 0, (1 - fx) * fy), corner(1, 1, fx * fy))))
     y = 0.299 * F.col("red") + 0.587 * F.col("green") + 0.114 * F.col("blue")
-    return taps.join(pixels.select("img", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), y.alias("y")), ["img", "r", "c"]).groupBy("img", F.col("i").alias("r"), F.col("j").alias("c")).agg(F.sum(F.col("y") * F.col("wt")).alias("luma"))
+    own = pixels.select("img", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), y.alias("y")).join(size, "img")
+
+    def near(at: str, full: str) -> Column:
+        """Whether some sample lies less than a pixel away."""
+        k = lambda d: (F.col(at) + d + 0.5) * n / F.col(full) - 0.5
+        return F.greatest(F.lit(0), F.ceil(k(-1) - 1e-6)) <= F.least(F.lit(n - 1), F.floor(k(1) + 1e-6))
+
+    own = own.filter(near("r", "h") & near("c", "w")).groupBy("img").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.collect_list(F.struct("r", "c", "y")).alias("p"))
+    own = own.select("img", "h", "w", *[F.col(f"p.{k}").alias(k) for k in ("r", "c", "y")])
+
+    def between(have: np.ndarray, full: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The lines before and after each sample: their places among those there are, whether they are, their shares."""
+        u = (np.arange(n) + 0.5) * full / n - 0.5
+        low = np.floor(u)
+        lines = [(np.clip(low + d, 0, full - 1), 1 - (u - low) if d == 0 else u - low) for d in (0, 1)]
+        at = [np.minimum(np.searchsorted(have, x), len(have) - 1) for x, _ in lines]
+        return [(k, have[k] == x, share) for k, (x, share) in zip(at, lines)]
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples():
+                (rows, r), (cols, c) = np.unique(x.r, return_inverse=True), np.unique(x.c, return_inverse=True)
+                y = np.array(x.y, dtype=float)
+                grid, there = np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)), dtype=bool)
+                known = ~np.isnan(y)
+                np.add.at(grid, (r[known], c[known]), y[known])
+                there[r, c] = True
+                out, some = np.zeros((n, n)), np.zeros((n, n), dtype=bool)
+                for i, is_row, a in between(rows, x.h):
+                    for j, is_col, b in between(cols, x.w):
+                        has = there[np.ix_(i, j)] & is_row[:, None] & is_col[None, :]
+                        out += np.where(has, grid[np.ix_(i, j)] * a[:, None] * b[None, :], 0.0)
+                        some |= has
+                i, j = np.nonzero(some)
+                yield pd.DataFrame({"img": [x.img] * len(i), "r": i.astype("int32"), "c": j.astype("int32"), "luma": out[i, j]})
+
+    return own.mapInPandas(sample, f"img {dict(own.dtypes)['img']}, r int, c int, luma double")
 
 
 def phash(grid: DataFrame, n: int = 32) -> DataFrame:
     """luma() to (img, hash): the 8 by 8 lowest frequencies of the cosine transform against their median
-    without the first; 16 hex digits. Two joins with a table of 8 * n cosines."""
-    spark = grid.sparkSession
-    cos = spark.createDataFrame([(k, m, math.cos((2 * m + 1) * math.pi * k / (2 * n))) for k in range(8) for m in range(n)], "k int, m int, cos double")
-    rows = grid.join(F.broadcast(cos.select(F.col("k").alias("kc"), F.col("m").alias("c"), "cos")), "c").groupBy("img", "r", "kc").agg(F.sum(F.col("luma") * F.col("cos")).alias("x"))
-    both = rows.join(F.broadcast(cos.select(F.col("k").alias("kr"), F.col("m").alias("r"), "cos")), "r").groupBy("img", "kr", "kc").agg(F.sum(F.col("x") * F.col("cos")).cast("float").alias("x"))
-    block = both.groupBy("img").agg(F.array_sort(F.collect_list(F.struct("kr", "kc", "x"))).alias("b")).withColumn("v", F.transform("b", lambda s: s["x"]))
-    median = F.element_at(F.sort_array(F.slice("v", 2, 63)), 32)
-    bits = F.array_join(F.transform("v", lambda x: F.when(x > F.col("med"), "1").otherwise("0")), "")
-    hexes = F.concat(*[F.lower(F.lpad(F.conv(F.substring("bits", 8 * k + 1, 8), 2, 16), 2, "0")) for k in range(8)])
-    return block.withColumn("med", median).withColumn("bits", bits).select("img", hexes.alias("hash"))
+    without the first; 16 hex digits. A picture's n * n samples are transformed at once."""
+    own = grid.filter(F.col("r").between(0, n - 1) & F.col("c").between(0, n - 1)).groupBy("img").agg(F.collect_list(F.struct("r", "c", "luma")).alias("p"))
+    own = own.select("img", *[F.col(f"p.{k}").alias(k) for k in ("r", "c", "luma")])
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cos = np.array([[math.cos((2 * m + 1) * math.pi * k / (2 * n)) for m in range(n)] for k in range(8)])
+        for pdf in batches:
+            out = []
+            for x in pdf.itertuples():
+                y = np.array(x.luma, dtype=float)
+                full = np.zeros((n, n))
+                np.add.at(full, (x.r[~np.isnan(y)], x.c[~np.isnan(y)]), y[~np.isnan(y)])
+                v = (cos @ full @ cos.T).astype("float32").ravel()
+                out.append((x.img, np.packbits(v > np.sort(v[1:])[31]).tobytes().hex()))
+            yield pd.DataFrame(out, columns=["img", "hash"])
+
+    return own.mapInPandas(hashes, f"img {dict(own.dtypes)['img']}, hash string")
 
 
 def enrich_ingest(files: DataFrame, folders: DataFrame, people: DataFrame, exif: DataFrame, dups: DataFrame) -> DataFrame:
