@@ -123,17 +123,24 @@ def match_folders(folders: DataFrame, tours: DataFrame, block: int = 10_000) ->
 def match_census(census: DataFrame, tours: DataFrame) -> DataFrame:
     """census (row, date, route) and tours (tour, date, route, has_activity) to (row, tour, how): by unique
     route, by route within a day, by exact date, by the only neighbour; else how says why not. A tour is
-    taken by the first row; one that has a recording is reported as skipped."""
-    t = tours.select("tour", F.col("date").alias("td"), F.col("route").alias("tr"), "has_activity")
-    by_route = census.join(t, F.col("route") == F.col("tr")).withColumn("near", F.abs(F.datediff("td", "date")) <= 1)
-    r = by_route.groupBy("row").agg(F.count("*").alias("nr"), F.min("tour").alias("r1"), F.count_if("near").alias("nn"), F.min(F.when(F.col("near"), F.col("tour"))).alias("r2"))
-    around = census.select("row", "date", F.explode(F.array(F.col("date"), F.date_sub("date", 1), F.date_add("date", 1))).alias("td")).join(t, "td")
-    d = around.groupBy("row").agg(F.count_if(F.col("td") == F.col("date")).alias("n0"), F.min(F.when(F.col("td") == F.col("date"), F.col("tour"))).alias("d0"), F.count_if(F.col("td") != F.col("date")).alias("n1"), F.min(F.when(F.col("td") != F.col("date"), F.col("tour"))).alias("d1"))
-    x = census.join(r, "row", "left").join(d, "row", "left").fillna(0, ["nr", "nn", "n0", "n1"])
+    taken by the first row; one that has a recording is reported as skipped.
+
+    Tours are counted per route, per route and day, and per day first, so a row meets one row of each and never the
+    tours of its days."""
+    tour = F.struct("tour", "has_activity")
+    count = lambda kind, *by: tours.groupBy(*by).agg(F.count("*").alias(f"n{kind}"), F.min(tour).alias(f"t{kind}"))
+    day = count("d", "date")
+    near = lambda df: df.withColumn("date", F.explode(F.array(F.date_sub("date", 1), F.date_add("date", 1), *([] if df is day else ["date"]))))
+    around = near(count("w", "route", "date")).groupBy("route", "date").agg(F.sum("nw").alias("nn"), F.min("tw").alias("r2"))
+    next_to = near(day).groupBy("date").agg(F.sum("nd").alias("n1"), F.min("td").alias("d1"))
+    of_day = day.select("date", F.col("nd").alias("n0"), F.col("td").alias("d0"))
+    x = census.join(count("r", "route").select("route", F.col("nr"), F.col("tr").alias("r1")), "route", "left").join(around, ["route", "date"], "left").join(of_day, "date", "left").join(next_to, "date", "left").fillna(0, ["nr", "nn", "n0", "n1"])
     how = F.when(F.col("nr") == 1, "route").when(F.col("nn") == 1, "route+date").when(F.col("n0") == 1, "date").when(F.col("n0") > 1, "two tours on that date").when(F.col("n1") == 1, "date+-1").when(F.col("n1") == 0, "no tour").otherwise("ambiguous within a day")
     pick = F.when(how == "route", F.col("r1")).when(how == "route+date", F.col("r2")).when(how == "date", F.col("d0")).when(how == "date+-1", F.col("d1"))
-    x = x.select("row", pick.alias("tour"), how.alias("how")).join(t.select("tour", "has_activity"), "tour", "left")
-    x = x.withColumn("n", F.when(F.col("tour").isNotNull(), F.row_number().over(Window.partitionBy("tour").orderBy("row"))).otherwise(1))
+    x = x.select("row", pick.alias("t"), how.alias("how")).select("row", "t.tour", "t.has_activity", "how")
+    # Rows without a tour are no group.
+    turn = Window.partitionBy("tour", F.when(F.col("tour").isNull(), F.col("row"))).orderBy("row")
+    x = x.withColumn("n", F.when(F.col("tour").isNotNull(), F.row_number().over(turn)).otherwise(1))
     how2 = F.when(F.col("n") > 1, "taken").when(F.coalesce("has_activity", F.lit(False)), "skipped").otherwise(F.col("how"))
     return x.select("row", F.when(F.col("n") == 1, F.col("tour")).alias("tour"), how2.alias("how"))
 
