@@ -239,16 +239,19 @@ def hamming_bands(hash_: Column, most: int = 5) -> Column:
 
 def hamming_dedup(incoming: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
     """incoming (row, kind, hash) and known (id, kind, hash) to (row, dup_of): the first known one, else the
-    first earlier row, of the same kind within `most` bits. Equal hashes are compared as one."""
+    first earlier row, of the same kind within `most` bits. Equal hashes are compared as one.
+
+    Known and incoming hashes are dealt by their bands together, once; bands are sent as numbers, and a clash of
+    those only adds a comparison."""
     k = known.groupBy("kind", "hash").agg(F.min("id").alias("id"))
     i = incoming.groupBy("kind", "hash").agg(F.min("row").alias("first"))
-    kb = k.select("id", "kind", F.col("hash").alias("h2"), F.explode(hamming_bands(F.col("hash"), most)).alias("band"))
-    ib = i.select("kind", "hash", "first", F.explode(hamming_bands(F.col("hash"), most)).alias("band"))
-    near = hamming_hex(F.col("hash"), F.col("h2")) <= most
-    by_known = ib.join(kb, ["kind", "band"]).filter(near).groupBy("kind", "hash").agg(F.min("id").alias("id"))
-    other = ib.select("kind", F.col("hash").alias("h2"), F.col("first").alias("f2"), "band")
-    by_row = ib.join(other, ["kind", "band"]).filter(near).groupBy("kind", "hash").agg(F.min("f2").alias("f2"))
-    out = incoming.join(by_known, ["kind", "hash"], "left").join(by_row, ["kind", "hash"], "left")
+    one = settled(i.join(k, ["kind", "hash"], "full"))
+    banded = one.select("kind", "hash", "id", "first", F.explode(hamming_bands(F.col("hash"), most)).alias("band")).withColumn("band", F.xxhash64("kind", "band"))
+    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.kind") == F.col("y.kind")) & (hamming_hex(F.col("x.hash"), F.col("y.hash")) <= most)
+    best = banded.alias("x").join(banded.alias("y"), near).groupBy("x.kind", "x.hash")
+    # A hash is near itself, so its own values change nothing; with them both sides are the same rows, dealt once.
+    best = best.agg(F.min(F.least("x.id", "y.id")).alias("id"), F.min(F.least("x.first", "y.first")).alias("f2"))
+    out = incoming.join(best, ["kind", "hash"], "left")
     dup = F.coalesce(F.col("id").cast("string"), F.when(F.col("f2") < F.col("row"), F.col("f2").cast("string")))
     return out.select("row", dup.alias("dup_of"))
 
