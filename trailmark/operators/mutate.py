@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LOCAL_HOST
 from ..scratch import settled
-from ..sources.facts import ROLES, TYPE, parent_of
+from ..sources.facts import ROLES, TYPE, parent_of, parts
 
 BASE32 = "0123456789abcdefghjkmnpqrstvwxyz"
 
@@ -71,8 +71,9 @@ def patch_diff(orig: DataFrame, edited: DataFrame, key: str, fields: Sequence[st
 
 def route_by_class(triples: DataFrame, cls: str, target: str) -> DataFrame:
     """Definitions of a class move to the target dump; references stay where they are."""
-    moved = triples.filter((F.col("p") == TYPE) & (F.col("o") == cls)).select("s").distinct().withColumn("__m", F.lit(True))
-    return triples.join(moved, "s", "left").withColumn("dump", F.when(F.col("__m"), F.lit(target)).otherwise(F.col("dump"))).drop("__m").select(triples.columns).dropDuplicates()
+    n = parts(triples)
+    moved = triples.filter((F.col("p") == TYPE) & (F.col("o") == cls)).select("s").repartition(n, "s").distinct().withColumn("__m", F.lit(True))
+    return triples.repartition(n, "s").join(moved, "s", "left").withColumn("dump", F.when(F.col("__m"), F.lit(target)).otherwise(F.col("dump"))).drop("__m").select(triples.columns).dropDuplicates()
 
 
 def assign_lists(triples: DataFrame, media: DataFrame, add: Sequence[str], remove: Sequence[str], known: Sequence[str], dump: str = "lists", p: str = "inList") -> DataFrame:
@@ -140,9 +141,12 @@ def skolemise_bnodes(triples: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     names = triples.filter((F.col("o_kind") == "bnode") & role.isNotNull()).select(F.col("o").alias("old"), F.concat_ws("_", "s", role).alias("new")).groupBy("old").agg(F.min("new").alias("new"))
     o = names.withColumnsRenamed({"old": "__o", "new": "__on"})
     s = names.withColumnsRenamed({"old": "__s", "new": "__sn"})
-    out = triples.join(o, (F.col("o") == F.col("__o")) & (F.col("o_kind") == "bnode"), "left").join(s, F.col("s") == F.col("__s"), "left")
+    blank = F.col("o_kind") == "bnode"
+    renamed = triples.filter(blank).join(o, F.col("o") == F.col("__o"), "left").unionByName(triples.filter(~F.coalesce(blank, F.lit(False))), True)
+    n = parts(triples)
+    out = renamed.repartition(n, "s").join(s, F.col("s") == F.col("__s"), "left")
     out = out.withColumn("o_kind", F.when(F.col("__on").isNotNull(), "iri").otherwise(F.col("o_kind"))).withColumn("o", F.coalesce("__on", "o")).withColumn("s", F.coalesce("__sn", "s"))
-    return out.withColumn("s_parent", parent_of(F.col("s"))).select(triples.columns).dropDuplicates()
+    return out.withColumn("s_parent", parent_of(F.col("s"))).select(triples.columns).repartition(n, "s").dropDuplicates()
 
 
 def retype(triples: DataFrame, classes: Mapping[str, str]) -> DataFrame:
