@@ -32,8 +32,8 @@ bucket, and each entry carries its class's HEAD smallest entries of whole parts:
 the two heads have a smaller entry in common, because it is found there.
 
 Sketches of 256 and then 1024 parity bits, of larger sets as many as shingles, of which similar sets
-differ in at most H, drop candidates before their texts are fetched; what remains is verified on the
-whole texts' sets. Shingles are compared by 64-bit hashes.
+differ in at most H, drop candidates where entries meet; what remains is verified on the whole texts'
+sets. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -351,6 +351,25 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, share: int, of: int)
     return left.groupBy("one", "part").cogroup(right.groupBy("a", "g")).applyInArrow(run, "a long, b long")
 
 
+def with_sketches(mixed: DataFrame, meet: DataFrame) -> DataFrame:
+    """The entries mixed (e, cid, whole, comp) with their classes' sizes, sketches and heads."""
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("e"))
+    heads = mixed.filter("whole").withColumn("nth", nth).filter(F.col("nth") <= HEAD).groupBy("cid").agg(F.collect_list("e").alias("head"))
+    return mixed.join(meet.drop("rep").join(heads, "cid", "left"), "cid")
+
+
+def candidates(mixed: DataFrame, share: int, of: int) -> DataFrame:
+    """(a, b) of with_sketches()' classes of different components that share a bucket and whose sketches, small and
+    large, allow that they are similar. The large ones are compared here, not after the join: documents of one template
+    pass the small ones, whatever they differ by, and the rows that a join hands on would grow as the template's square."""
+    one, two = F.col("x.head"), F.col("y.head")
+    before = F.coalesce(F.exists(F.array_intersect(one, two), lambda e: e < F.col("x.e")), F.lit(False))
+    apart = (F.col("x.comp") < F.col("y.comp")) & (F.col("x.whole") | F.col("y.whole"))
+    alike = may_match("x", "y", share, of) & ~before & may_match("x", "y", share, of, True)
+    pair = mixed.alias("x").join(mixed.alias("y"), (F.col("x.e") == F.col("y.e")) & apart & alike)
+    return pair.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+
+
 def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, share: int = SHARE, of: int = OF, made: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of docs.
 
@@ -409,14 +428,8 @@ def link(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width:
         one = same_lists(members(mixed)).filter("e = one").select("e")
         mixed = made.table(mixed.join(one, "e", "left_semi"), "mixed")
     # Then every pair of different components that shares a bucket.
-    nth = F.row_number().over(Window.partitionBy("cid").orderBy("e"))
-    heads = mixed.filter("whole").withColumn("nth", nth).filter(F.col("nth") <= HEAD).groupBy("cid").agg(F.collect_list("e").alias("head"))
-    mixed = made.table(mixed.join(meet.drop("fine", "rep").join(heads, "cid", "left"), "cid"), "mixed")
-    one, two = F.col("x.head"), F.col("y.head")
-    before = F.coalesce(F.exists(F.array_intersect(one, two), lambda e: e < F.col("x.e")), F.lit(False))
-    apart = (F.col("x.comp") < F.col("y.comp")) & (F.col("x.whole") | F.col("y.whole"))
-    pair = mixed.alias("x").join(mixed.alias("y"), (F.col("x.e") == F.col("y.e")) & apart & may_match("x", "y", share, of) & ~before)
-    pairs = told(pair.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+    mixed = made.table(with_sketches(mixed, meet), "mixed")
+    pairs = told(candidates(mixed, share, of).distinct())
     more = made.table(verify(made.table(pairs, "pairs"), texts, width, share, of), "links")
     labels = components(links.union(more))
     known = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
