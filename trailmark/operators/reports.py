@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contributor_of, is_local_host, is_shared_copy, media_kind, paragraphs, series_label
+from ..functions.text import SPACES, contributor_of, is_local_host, is_shared_copy, media_kind, null_if_no_match, paragraphs, series_label
 from ..functions.time import instant, tour_week
 
 #: Upper limits in kJ and labels of intensity.
@@ -141,10 +141,10 @@ def series_page(editions: DataFrame, series: str) -> DataFrame:
 
 
 def tour_summary(description: Column, date_lex: Column, energy: Column) -> Column:
-    """The first paragraph, cut to 197 characters and an ellipsis beyond 200; else date and energy."""
+    """The first paragraph, cut to 197 characters and an ellipsis beyond 200; else date and energy; null without any."""
     p = F.get(paragraphs(description), F.lit(0))
-    cut = F.when(F.length(p) > 200, F.concat(F.rtrim(F.substring(p, 1, 197)), F.lit("…"))).otherwise(p)
-    return F.coalesce(cut, F.concat_ws(" · ", F.substring(date_lex, 1, 10), F.concat(F.round(energy, 0).cast("long").cast("string"), F.lit(" kJ"))))
+    cut = F.when(F.length(p) > 200, F.concat(F.rtrim(F.substring(p, 1, 197), F.lit(SPACES)), F.lit("…"))).otherwise(p)
+    return F.coalesce(cut, null_if_no_match(F.concat_ws(" · ", F.substring(date_lex, 1, 10), F.concat(F.round(energy, 0).cast("long").cast("string"), F.lit(" kJ")))))
 
 
 def weekly_cost(days: DataFrame, rate: float = 100.0, subscription: float = 20.0, fixed: float = 5.0) -> DataFrame:
